@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngram_join, toxicity, url_filter
+from . import bpe, embedding_dedup, langid, mixing, ngram_join, pivot_topk, toxicity, url_filter
 from .common import table
 
 #: host, path, action
@@ -40,6 +40,22 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM q LE
 """
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.95)
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT r, vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+l AS (SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM g a JOIN g b ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.95),
+w AS (SELECT r AS a, r AS b, vec_id AS other FROM v UNION SELECT w.a, l.b, l.other FROM w JOIN l ON w.b = l.a),
+c AS (SELECT a, min(other) AS component_id FROM w GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.r LEFT JOIN n ON n.a = v.r
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = toxicity.detect(docs, table(spark, sf_dir, "labels"))
@@ -51,6 +67,20 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, weights=[3, 1, 2], total=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pivot_topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0, k=5, scale=256.0)
+    return got.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, num=80, den=100)
 
@@ -62,9 +92,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_language_id, op2_url_filter, op5_toxicity, op6_source_mix, op9_ngram_jaccard, op10_bpe]
+    own = [op1_language_id, op2_url_filter, op4_embedding_dedup, op5_toxicity, op6_source_mix, op7_exact_topk, op9_ngram_jaccard, op10_bpe]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op7_exact_topk": OP7_SQL}
