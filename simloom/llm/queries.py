@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, langid, mixing, ngram_join, pivot_topk, toxicity, url_filter
+from . import bpe, embedding_dedup, langid, masked_lm, mixing, ngram_join, pivot_topk, token_files, toxicity, url_filter
 from .common import table
 
 #: host, path, action
@@ -40,6 +40,12 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM q LE
 """
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    mean = F.when(F.col("_pll.n_tokens") > 0, F.col("_pll.sum_logprob") / F.col("_pll.n_tokens"))
+    return got.select("doc_id", "_pll.n_tokens", "_pll.sum_logprob", mean.alias("mean_logprob"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), least=0.95)
 
@@ -81,6 +87,11 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 """
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.written_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, num=80, den=100)
 
@@ -92,7 +103,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_language_id, op2_url_filter, op4_embedding_dedup, op5_toxicity, op6_source_mix, op7_exact_topk, op9_ngram_jaccard, op10_bpe]
+    own = [op1_language_id, op2_url_filter, op3_masked_lm, op4_embedding_dedup, op5_toxicity, op6_source_mix, op7_exact_topk, op8_token_files, op9_ngram_jaccard, op10_bpe]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
