@@ -161,9 +161,12 @@ class Net:
 
 def _lean(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of at least two texts, by hash, and each one's smoothed log odds of the label."""
-    pair = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1)
-    words, at, n = np.unique(pair[0], return_inverse=True, return_counts=True)
-    pos = np.bincount(at, weights=y[pair[1].astype(np.int64)], minlength=len(words))
+    order = np.lexsort((owner, hashes))
+    word, text = hashes[order], owner[order]
+    lead = np.concatenate([[True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])]) if len(word) else np.zeros(0, bool)
+    word, text = word[lead], text[lead]  # once a text
+    words, at, n = np.unique(word, return_inverse=True, return_counts=True)
+    pos = np.bincount(at, weights=y[text], minlength=len(words))
     rate = y.mean()
     lean = np.log((pos + 3 * rate) / (n - pos + 3 * (1 - rate))) - np.log(rate / (1 - rate))
     keep = np.flatnonzero(n >= 2)
@@ -175,11 +178,18 @@ def train(texts: pa.Array, y: np.ndarray, prior: float, rounds: int = 3, epochs:
     """Fits the network to labelled texts, of which ``prior`` are positive where they come from."""
     rng = np.random.default_rng(seed)
     data, offsets = buffers(texts)
-    h, first, gram, begin = _words(data, offsets)
-    owner_w = np.repeat(np.arange(len(y)), np.diff(first))
+    parts = []
+    for i, j in chunks(offsets):  # small pieces in narrow types: the sample need not fit in memory many times over
+        h, first, gram, begin = _words(data, offsets[i : j + 1])
+        parts.append((h, np.diff(first).astype(np.int32), gram.astype(np.uint16), np.diff(np.append(begin, len(gram))).astype(np.int32)))
+    h, counts, gram, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    first = np.concatenate([[0], np.cumsum(counts)])
+    begin = (np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
+    owner_w = np.repeat(np.arange(len(y), dtype=np.int32), counts)
     net = Net(*_lean(h, owner_w, y))
-    ids = net.ids(h)
-    size = np.diff(np.append(begin, len(gram)))
+    ids = np.concatenate([net.ids(x) for x in np.array_split(h, 64)]).astype(np.int32)
+    del h, owner_w
     start, length, owner = _windows(first)
     ok = length > 0
     start, length, owner = start[ok], length[ok], owner[ok]
@@ -200,7 +210,7 @@ def train(texts: pa.Array, y: np.ndarray, prior: float, rounds: int = 3, epochs:
             for w in np.array_split(rng.permutation(picked), max(1, len(picked) // batch)):
                 at = np.minimum(start[w] + np.arange(SPAN)[:, None], start[w] + length[w] - 1)
                 used, back = np.unique(at, return_inverse=True)
-                lens = size[used]
+                lens = size[used].astype(np.int64)
                 pick = np.repeat(begin[used] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
                 grams, at_w = gram[pick], np.repeat(np.arange(len(used)), lens)
                 x, _ = net.inputs(ids[used], grams, np.cumsum(lens) - lens)
