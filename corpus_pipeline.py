@@ -8,11 +8,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simloom.llm import bpe, langid, mixing, ngram_join, toxicity
-from simloom.llm.common import kept, small, table
+from simloom.llm.common import kept, small, small_batches, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null, no letter) and those whose main language has under half of the words."""
+    small_batches(spark)
     got = langid.identify(docs)
     return got.where((F.col("_lid.lang") != "und") & (F.col("_lid.score") >= 0.5)).select(*docs.columns)
 
@@ -27,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of null id are no one's duplicates and stay.
     """
+    small_batches(spark)
     groups = kept(ngram_join.similarity_components(docs.select("doc_id", "text")), "groups")
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     rest = docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
@@ -46,6 +48,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
+    small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks
+from .common import CHUNK, buffers, chunks
 
 #: How byte-level BPE files split words (fixed).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -98,7 +98,7 @@ class Bpe:
         t = self.step.get(key)
         if t is None:
             t = self._next(self.fail[s], c) if s else 0
-            if len(self.step) < 4_000_000:
+            if len(self.step) < 600_000:
                 self.step[key] = t
         return t
 
@@ -131,7 +131,7 @@ class Bpe:
         pairs, step, out, beside = self.pairs, self.step, self.out, self._beside
         if len(self.known) > self.cache:
             self.known.clear()
-        if len(pairs) > 1_500_000:
+        if len(pairs) > 500_000:
             pairs.clear()
         states, last, width = [0], [-1], [0]
         before = b""
@@ -205,7 +205,7 @@ def read(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _texts(column: pa.Array, limit: int = 1 << 20) -> Iterable[list[str]]:
+def _texts(column: pa.Array, limit: int = CHUNK) -> Iterable[list[str]]:
     _, offsets = buffers(column)
     for i, j in chunks(offsets, limit):
         yield ["" if x is None else x for x in column.slice(i, j - i).to_pylist()]

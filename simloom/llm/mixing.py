@@ -97,7 +97,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).groupBy("doc_id", "th").agg(F.sum("taken").alias("_t"), F.max("size").alias("_s"), F.count("*").alias("_c"))
     taken = taken.where("_t > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.floor(F.col("_t") / F.col("_c")).alias("_t"), "_s")
     text = F.coalesce("text", F.lit(""))
-    few = F.broadcast(taken) if taken.limit(2_000_001).count() <= 2_000_000 else taken
+    few = F.broadcast(taken) if taken.limit(500_001).count() <= 500_000 else taken
     rows = docs.withColumn("_h", F.xxhash64(text)).join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
     left = F.expr("_t % _s")
     sizes = F.concat(F.array_repeat(F.col("_s"), F.expr("cast(_t div _s as int)")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))
