@@ -2,10 +2,367 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from simloom.functions import levels, metrics, sq8, terms
+from simloom.operators import approx, current, evaluate, filters, planner, topk
+from simloom.sources.collection import Collection
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# vectors of different lengths: the table's are of length 1, so they are scaled, and one is zero
+
+
+def _base(spark: SparkSession, sf: str) -> DataFrame:
+    scale = F.when(F.col("vec_id") == 3, 0).otherwise(1 + F.col("vec_id") % 5)
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x * scale + 0.0).alias("vector"), "label")
+
+
+def _asked(base: DataFrame) -> DataFrame:
+    """The stated query set: every id divisible by 20."""
+    return base.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+_BASE = "WITH e AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) * (CASE WHEN vec_id = 3 THEN 0 ELSE 1 + vec_id % 5 END) + 0.0 FOR x IN embedding] AS v, label FROM embeddings)"
+_UNIT = "SELECT id, CASE WHEN n > 0 THEN [x / n FOR x IN v] ELSE v END AS v, label FROM (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM e)"
+_L2 = "list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+_DOT = "1 - list_inner_product(q.v, c.v)"
+
+
+def _knn_sql(distance: str, k: int = 10, table: str = "e", where: str = "true", top: str = "rank <= {k}") -> str:
+    source = f"{_BASE}, u AS ({_UNIT})" if table == "u" else _BASE
+    return f"""{source}, d AS (SELECT q.id AS query_id, c.id, {distance} AS distance FROM {table} q, {table} c WHERE q.id % 20 = 0 AND {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d)
+SELECT query_id, rank, id, round(distance, 9) + 0.0 AS distance FROM r WHERE {top.format(k=k)}"""
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("distance", F.round("distance", 9) + 0.0)  # -0.0 is 0.0
+
+
+@_query("knn_l2", _knn_sql(_L2))
+def knn_l2(spark, sf):
+    e = _base(spark, sf)
+    return _shown(topk.top_k(e, _asked(e), 10, "l2"))
+
+
+@_query("knn_ip", _knn_sql(_DOT))
+def knn_ip(spark, sf):
+    e = _base(spark, sf)
+    return _shown(topk.top_k(e, _asked(e), 10, "ip"))
+
+
+@_query("knn_cosine", _knn_sql(_DOT, table="u"))
+def knn_cosine(spark, sf):
+    e = _base(spark, sf)
+    return _shown(topk.top_k(e, _asked(e), 10, "cosine"))
+
+
+@_query("knn_k_gt_n", _knn_sql(_L2, 1 << 30))
+def knn_k_gt_n(spark, sf):
+    """More neighbours than rows: all rows."""
+    e = _base(spark, sf)
+    return _shown(topk.top_k(e, _asked(e), 1 << 30, "l2"))
+
+
+_PADDED = _knn_sql(_L2, 8, where="c.label = q.label % 3 AND c.id % 97 = 0")
+
+
+@_query("knn_padded", f"""WITH h AS ({_PADDED}), g AS (SELECT q.vec_id AS query_id, CAST(r.range AS BIGINT) AS rank FROM embeddings q, range(1, 9) r WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, coalesce(id, -1) AS id, coalesce(distance, CAST('inf' AS DOUBLE)) AS distance FROM g LEFT JOIN h USING (query_id, rank)""")
+def knn_padded(spark, sf):
+    """A filter that differs by query, with fewer rows than k: padded with -1 and infinity."""
+    e = _base(spark, sf)
+    parts = [topk.top_k(e.where(f"label = {m} and id % 97 = 0"), _asked(e.where(f"label % 3 = {m}")), 8, "l2") for m in range(3)]
+    return _shown(topk.padded(parts[0].union(parts[1]).union(parts[2]), _asked(e), 8))
+
+
+@_query("knn_zero_vector", _knn_sql(_DOT, table="u", where="c.id = 3", top="true"))
+def knn_zero_vector(spark, sf):
+    """The cosine distance to a zero vector is 1."""
+    e = _base(spark, sf)
+    return _shown(topk.top_k(e.where("id = 3"), _asked(e), 1, "cosine"))
+
+
+@_query("normalize", f"{_BASE}, u AS ({_UNIT}) SELECT id, round(list_sum(v), 9) AS total, round(v[1], 9) AS first FROM u")
+def normalize(spark, sf):
+    v = metrics.normalize(F.col("vector"))
+    return _base(spark, sf).select("id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 9).alias("total"), F.round(F.element_at(v, 1), 9).alias("first"))
+
+
+@_query("distance_columns", f"""{_BASE}, u AS ({_UNIT}) SELECT q.id, round({_L2}, 9) AS l2, round({_DOT}, 9) AS ip, round(1 - list_inner_product(uq.v, uc.v), 9) AS cosine
+FROM e q JOIN e c ON c.id = (q.id + 1) % (SELECT count(*) FROM e) JOIN u uq ON uq.id = q.id JOIN u uc ON uc.id = c.id""")
+def distance_columns(spark, sf):
+    """The metrics as Columns, over neighbouring ids."""
+    e = _base(spark, sf)
+    n = e.count()
+    c = e.select(((F.col("id") + n - 1) % n).alias("id"), F.col("vector").alias("other"))
+    return e.join(c, "id").select("id", *(F.round(metrics.distance(m, F.col("vector"), F.col("other")), 9).alias(m) for m in ("l2", "ip", "cosine")))
+
+
+@_query("knn_allow", _knn_sql(_L2, where="c.id IN (SELECT doc_id FROM labels)"))
+def knn_allow(spark, sf):
+    e = _base(spark, sf)
+    return _shown(topk.top_k(topk.allowed(e, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id")), _asked(e), 10, "l2"))
+
+
+@_query("knn_deny", _knn_sql(_L2, where="c.id NOT IN (SELECT doc_id FROM labels)"))
+def knn_deny(spark, sf):
+    e = _base(spark, sf)
+    return _shown(topk.top_k(topk.denied(e, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id")), _asked(e), 10, "l2"))
+
+
+@_query("knn_prefilter_label", _knn_sql(_DOT, table="u", where="c.label = 4"))
+def knn_prefilter_label(spark, sf):
+    e = _base(spark, sf)
+    return _shown(topk.top_k(e.where("label = 4"), _asked(e), 10, "cosine"))
+
+
+# metadata filters: documents with their labels, where they have any
+
+
+def _metadata(spark: SparkSession, sf: str) -> DataFrame:
+    d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = F.to_json(F.struct("lang", "source", "n_chars", "quality", F.array("lang", "source").alias("tags"), (F.col("n_chars") % 10).cast("double").alias("digit")))
+    return d.select("doc_id", "lang", "source", "n_chars").join(y, "doc_id", "left").select("doc_id", terms.terms(m).alias("terms"))
+
+
+_DOCS = "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE "
+FILTERS = {
+    "filter_eq": ({"lang": "en"}, "d.lang = 'en'"),
+    "filter_ne_missing": ({"quality": {"$ne": 1}}, "(l.quality IS NULL OR l.quality <> 1)"),
+    "filter_in": ({"source": {"$in": ["src1", "src2"]}}, "d.source IN ('src1', 'src2')"),
+    "filter_in_none": ({"source": {"$in": []}}, "false"),
+    "filter_nin": ({"quality": {"$nin": [0, 7]}}, "(l.quality IS NULL OR l.quality NOT IN (0, 7))"),
+    "filter_and": ({"$and": [{"lang": "en"}, {"quality": 1}]}, "d.lang = 'en' AND l.quality = 1"),
+    "filter_or": ({"$or": [{"lang": "de"}, {"quality": {"$eq": 0}}]}, "(d.lang = 'de' OR l.quality = 0)"),
+    "filter_implicit_and": ({"lang": {"$ne": "en", "$in": ["de", "fr"]}, "quality": 1}, "d.lang IN ('de', 'fr') AND l.quality = 1"),
+    "filter_array_any": ({"tags": "src3"}, "d.source = 'src3'"),
+    "filter_array_ne": ({"tags": {"$ne": "src3"}}, "d.source <> 'src3'"),
+    "filter_numeric_canon": ({"digit": 3}, "d.n_chars % 10 = 3"),
+    "filter_text_is_no_number": ({"quality": "1"}, "false"),
+    "filter_empty": ({}, "true"),
+}
+
+
+def _filter(where: dict) -> Query:
+    return lambda spark, sf: _metadata(spark, sf).where(filters.compiled(where, F.col("terms"))).select("doc_id")
+
+
+for _name, (_where, _sql) in FILTERS.items():
+    _query(_name, _DOCS + _sql)(_filter(_where))
+
+
+# 8-bit quantization
+
+
+def _coded(spark: SparkSession, sf: str) -> DataFrame:
+    e = _base(spark, sf)
+    r = F.broadcast(sq8.collected(sq8.ranges(e, "vector")))
+    return e.crossJoin(r).select("id", "vector", sq8.encode(F.col("vector"), F.col("mins"), F.col("scales")).alias("codes"), "mins", "scales")
+
+
+_RANGES = f"{_BASE}, p AS (SELECT id, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM e), r AS (SELECT pos, min(x) AS lo, max(x) AS hi, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 255 ELSE 1.0 END AS scale FROM p GROUP BY pos)"
+_CODES = _RANGES + ", c AS (SELECT p.id, p.pos, p.x, r.lo, r.scale, greatest(0, least(255, round_even((p.x - r.lo) / r.scale, 0))) AS code FROM p JOIN r USING (pos))"
+
+
+@_query("sq8_ranges", _RANGES + " SELECT pos, lo, hi, scale FROM r")
+def sq8_ranges(spark, sf):
+    return sq8.ranges(_base(spark, sf), "vector")
+
+
+@_query("sq8_encode", _CODES + " SELECT id, pos, CAST(code AS INTEGER) AS code FROM c")
+def sq8_encode(spark, sf):
+    return _coded(spark, sf).select("id", F.posexplode("codes").alias("pos", "code")).select("id", F.col("pos").cast("long").alias("pos"), "code")
+
+
+@_query("sq8_decode", _CODES + " SELECT id, round(max(abs(lo + code * scale - x)), 9) AS worst FROM c GROUP BY id")
+def sq8_decode(spark, sf):
+    """The worst error of each vector."""
+    off = F.zip_with(sq8.decode(F.col("codes"), F.col("mins"), F.col("scales")), "vector", lambda a, b: F.abs(a - b))
+    return _coded(spark, sf).select("id", F.round(F.array_max(off), 9).alias("worst"))
+
+
+@_query("sq8_knn", _CODES + """, x AS (SELECT id, list(lo + code * scale ORDER BY pos) AS v FROM c GROUP BY id),
+d AS (SELECT q.id AS query_id, c.id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM e q, x c WHERE q.id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) SELECT query_id, rank, id, round(distance, 6) AS distance FROM t WHERE rank <= 10""")
+def sq8_knn(spark, sf):
+    """Codes only: queries stay exact."""
+    e = _base(spark, sf)
+    return approx.coded_top_k(e, _asked(e), 10, "l2", rerank=False).withColumn("distance", F.round("distance", 6))
+
+
+@_query("sq8_rerank", _knn_sql(_L2))
+def sq8_rerank(spark, sf):
+    e = _base(spark, sf)
+    return _shown(approx.coded_top_k(e, _asked(e), 10, "l2", ef=64))
+
+
+# operation log: all vectors, then changed ones, deletes, and some that come back
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("metadata"))
+    steps = [(1, "upsert", "true", ""), (2, "upsert", "id % 3 = 0", "b"), (2, "upsert", "id % 9 = 0", "c"), (3, "delete", "id % 7 = 0", ""), (4, "upsert", "id % 21 = 0", "d")]
+    out = None
+    for i, (seq, op, where, mark) in enumerate(steps):
+        part = e.where(where).select(F.lit(op).alias("op"), "id", F.lit(seq).cast("long").alias("seq"), (F.col("id") + i * (1 << 20)).alias("pos"), F.concat("metadata", F.lit(mark)).alias("metadata"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+_LATEST = """WITH e AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS m FROM embeddings), l AS (
+SELECT 'upsert' AS op, id, 1 AS seq, 0 AS i, m FROM e UNION ALL SELECT 'upsert', id, 2, 1, m || 'b' FROM e WHERE id % 3 = 0
+UNION ALL SELECT 'upsert', id, 2, 2, m || 'c' FROM e WHERE id % 9 = 0 UNION ALL SELECT 'delete', id, 3, 3, m FROM e WHERE id % 7 = 0
+UNION ALL SELECT 'upsert', id, 4, 4, m || 'd' FROM e WHERE id % 21 = 0),
+w AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC, i DESC) = 1), c AS (SELECT id, CAST(seq AS BIGINT) AS seq, m AS metadata FROM w WHERE op = 'upsert') """
+
+
+@_query("upsert_latest", _LATEST + "SELECT id, seq, metadata FROM c")
+def upsert_latest(spark, sf):
+    return current.latest(_log(spark, sf), ["metadata"]).select("id", "seq", "metadata")
+
+
+@_query("batch_last_wins", _LATEST + "SELECT id, metadata FROM l WHERE seq = 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1".replace("metadata", "m AS metadata"))
+def batch_last_wins(spark, sf):
+    return current.latest(_log(spark, sf).where("seq = 2"), ["metadata"]).select("id", "metadata")
+
+
+@_query("delete_anti", _LATEST + "SELECT id FROM e WHERE id NOT IN (SELECT id FROM c)")
+def delete_anti(spark, sf):
+    """Ids that are gone."""
+    log = _log(spark, sf)
+    return log.select("id").distinct().join(current.latest(log, ["metadata"]), "id", "left_anti")
+
+
+@_query("delete_count", _LATEST + "SELECT count(*) AS n FROM (SELECT customer.c_custkey AS id FROM customer UNION ALL SELECT vec_id FROM embeddings) d WHERE id IN (SELECT id FROM c)")
+def delete_count(spark, sf):
+    """What a delete of these ids returns: repeated ones count again."""
+    ids = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("id")).union(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id"))
+    return ids.join(current.latest(_log(spark, sf), ["metadata"]), "id", "left_semi").agg(F.count("*").alias("n"))
+
+
+@_query("ids_sorted", _LATEST + "SELECT id FROM c ORDER BY id")
+def ids_sorted(spark, sf):
+    return current.latest(_log(spark, sf), ["metadata"]).select("id").orderBy("id")
+
+
+@_query("point_get", _LATEST + "SELECT id, metadata FROM c WHERE id = 42")
+def point_get(spark, sf):
+    return current.latest(_log(spark, sf).where("id = 42"), ["metadata"]).select("id", "metadata")
+
+
+@_query("collection_stats", _LATEST + "SELECT count(*) AS size, (SELECT count(*) FROM l WHERE op = 'upsert') AS nodes, (SELECT count(*) FROM l WHERE op = 'upsert') - count(*) AS deleted, (SELECT CAST(max(seq) AS BIGINT) FROM l) AS last_seq FROM c")
+def collection_stats(spark, sf):
+    log = _log(spark, sf)
+    size = current.latest(log, ["metadata"]).agg(F.count("*").alias("size"))
+    return size.crossJoin(log.agg(F.count_if(F.col("op") == "upsert").alias("nodes"), F.max("seq").alias("last_seq"))).select("size", "nodes", (F.col("nodes") - F.col("size")).alias("deleted"), "last_seq")
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/collection-{uuid.uuid4().hex}"
+
+
+@_query("checkpoint_recover", _LATEST + "SELECT id, seq, '{\"m\":\"' || metadata || '\"}' AS metadata FROM c")
+def checkpoint_recover(spark, sf):
+    """The same log through a durable collection: a snapshot in the middle, closed and opened again."""
+    path, log = _folder(spark), _log(spark, sf)
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    c = Collection.create(spark, path, 64)
+    for seq in (1, 2, 3, 4):
+        part = log.where(F.col("seq") == seq)
+        if seq == 3:
+            c.checkpoint()
+            c.delete(part.select("id"))
+        else:
+            c.upsert(part.join(vectors, "id").select("id", "vector", "pos", F.to_json(F.struct(F.col("metadata").alias("m"))).alias("metadata")))
+    return Collection.open(spark, path).rows().select("id", "seq", "metadata")
+
+
+# measures
+
+
+@_query("recall_eval", f"""WITH t AS ({_knn_sql(_L2)}), f AS ({_knn_sql(_DOT)}) SELECT t.query_id, count(f.id) / count(*) AS recall FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.id = t.id GROUP BY t.query_id""")
+def recall_eval(spark, sf):
+    """How many of the l2 neighbours are inner-product neighbours too."""
+    e = _base(spark, sf)
+    return evaluate.recall(topk.top_k(e, _asked(e), 10, "ip"), topk.top_k(e, _asked(e), 10, "l2"))
+
+
+@_query("planner_choice", "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT label, CASE WHEN n <= 64 THEN 'exact' WHEN count(*) <= greatest(2048, sqrt(16 * 64 * n)) THEN 'id_scan' ELSE 'graph' END AS path FROM embeddings, n GROUP BY label, n")
+def planner_choice(spark, sf):
+    """The access path of a search that allows one label (there are ten)."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    counts = e.groupBy("label").count().collect()
+    live = sum(r["count"] for r in counts)
+    return spark.createDataFrame([(r["label"], planner.access_path(live, 10, allowed=r["count"])) for r in counts], "label int, path string")
+
+
+_LE = ", ".join(f"CAST(sum(CASE WHEN value / 500 <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS le_{i}" for i, b in enumerate(evaluate.DURATIONS))
+
+
+@_query("request_metrics", f"SELECT event_type AS route, count(*) AS requests, CAST(sum(CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(sum(value / 500), 4) AS seconds, {_LE}, count(*) AS le_inf FROM events GROUP BY event_type")
+def request_metrics(spark, sf):
+    log = spark.read.parquet(f"{sf}/events.parquet").select("event_type", (F.col("value") / 500).alias("s"), "user_id")
+    return evaluate.request_metrics(log, "event_type", "s", F.col("user_id") % 10 == 0).withColumn("seconds", F.round("seconds", 4))
+
+
+@_query("qps_at_recall", """WITH p AS (SELECT event_type AS series, (user_id % 10) / 10.0::DOUBLE AS recall, CAST(count(*) AS DOUBLE) AS qps FROM events GROUP BY ALL),
+l AS (SELECT *, lead(recall) OVER w AS r2, lead(qps) OVER w AS q2 FROM p WINDOW w AS (PARTITION BY series ORDER BY recall))
+SELECT series, round(max(qps + (0.55 - recall) / (r2 - recall) * (q2 - qps)), 6) AS qps FROM l WHERE recall <= 0.55 AND r2 >= 0.55 AND r2 > recall GROUP BY series""")
+def qps_at_recall(spark, sf):
+    p = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("series"), (F.col("user_id") % 10 / 10.0).alias("recall")).agg(F.count("*").cast("double").alias("qps"))
+    return evaluate.rate_at(p, 0.55).withColumn("qps", F.round("qps", 6))
+
+
+@_query("crc32")
+def crc32(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.crc32(F.encode("text", "utf-8")).alias("crc"))
+
+
+@_query("level_draw")
+def level_draw(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), levels.level(F.col("vec_id")).alias("level"))
+
+
+@_query("level_histogram")
+def level_histogram(spark, sf):
+    return level_draw(spark, sf).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@_query("ann_graph")
+def ann_graph(spark, sf):
+    e = _base(spark, sf)
+    return _shown(approx.graph_top_k(e, _asked(e), 10, "cosine"))
+
+
+@_query("ann_graph_recall")
+def ann_graph_recall(spark, sf):
+    e = _base(spark, sf)
+    return evaluate.recall(approx.graph_top_k(e, _asked(e), 10, "l2", ef=128), topk.top_k(e, _asked(e), 10, "l2")).agg(F.avg("recall").alias("recall"))
