@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simloom.operators.hnsw import Hnsw
+
 from .common import kept
 from .graph import components
-from .hnsw import Hnsw
 
 _MARGIN = 1e-5  # what single precision may be off
 
@@ -88,7 +89,7 @@ def near_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # h1 names a class from here on; the shard comes from h2
     classes = kept(classes.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards)).cast("int")), "classes")
 
-    def build(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("h1")
         q, _ = _unit(pa.array(batch["v"].tolist(), pa.list_(pa.float64())))
         graph = Hnsw(q, m, ef_build)
