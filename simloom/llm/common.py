@@ -17,7 +17,13 @@ CHUNK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer partitions than that (a small table in one file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
