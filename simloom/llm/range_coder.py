@@ -74,19 +74,20 @@ class _Model:
         return self.cand, self.p
 
     def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
-        err = (hit.astype(np.int64) << 16) - self.p
-        n = len(x)
+        right2, right1 = self.p2 == x, self.p1 == x
+        err, n = (hit.astype(np.int64) << 16) - self.p, len(x)
         for k, o in ((2, self.o2), (1, self.o1), (0, self.o0)):
             self.weights[k] = min(80000, max(-20000, int(self.weights[k]) + int(np.dot(o, err)) // (n * 512)))
-        right2, right1 = self.p2 == x, self.p1 == x
-        self.seen += np.bincount(self.c2, minlength=128) + np.bincount(self.c1, minlength=128)
-        self.hits += np.bincount(self.c2[right2], minlength=128) + np.bincount(self.c1[right1], minlength=128)
+        for c, right in ((self.c2, right2), (self.c1, right1)):
+            met = np.bincount(c + (right << 7), minlength=256).reshape(2, 128)
+            self.seen += met[0] + met[1]
+            self.hits += met[1]
         if self.step % 16 == 15:  # old times fade
             self.seen, self.hits = (self.seen >> 1) + 4, (self.hits >> 1) + 1
         for pred, sure, at, same, had in ((self.pred2, self.sure2, self.i2, right2, self.c2), (self.pred1, self.sure1, self.i1, right1, self.s1)):
             sure[at] = _AFTER.take(had + (same << 3))
-            new = np.flatnonzero(~same & (had < 2))
-            pred[at[new]] = x[new]
+            new = np.flatnonzero((had < 2) > same)  # missed, and not sure before
+            pred[at.take(new)] = x.take(new)
         self.fresh.append(x)
         self.step += 1
         if self.step >= self.due:

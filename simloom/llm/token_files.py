@@ -42,7 +42,7 @@ class Tokenizer:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None:
-            return np.array([i for w in self.slow.encoded([text])[0] for i in w[3]], np.uint32)
+            return np.array([int(i) for w in self.slow.encoded([text])[0] for i in w[1].split(",")], np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special="all")
 
 
