@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -84,8 +85,24 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         j = min(n, max(j, i + 1))
         yield i, j
         i = j
+    if n:
+        _trim()
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can: a Python worker outlives its tasks."""
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL(None)
+            _libc.malloc_trim(0)
+        except (OSError, AttributeError):
+            _libc = False
+    elif _libc:
+        _libc.malloc_trim(0)
+
+
+_libc = None
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
