@@ -35,7 +35,7 @@ def _byte_of() -> dict[str, int]:
 class Bpe:
     """A byte-level BPE of the tokenizers library, read from its JSON text."""
 
-    def __init__(self, text: str, cache: int = 150_000):
+    def __init__(self, text: str, cache: int = 80_000):
         spec = json.loads(text)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
@@ -56,7 +56,8 @@ class Bpe:
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.text = {i: str(i) for i in self.bytes}
-        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
+        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}  # words not met since ``known`` was full
         self.cache = cache
         self.pairs: dict[int, bool] = {}
         self.ends: tuple[dict[int, list], dict[int, list]] = ({}, {})
@@ -129,13 +130,12 @@ class Bpe:
     def learn(self, words: Iterable[str]) -> None:
         """Inserts new words into a trie and encodes all of them in one depth-first traversal."""
         pairs, step, out, beside = self.pairs, self.step, self.out, self._beside
-        if len(self.known) > self.cache:
-            self.known.clear()
         if len(pairs) > 500_000:
             pairs.clear()
         states, last, width = [0], [-1], [0]
         before = b""
-        for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+        for word in sorted(words):  # the order of code points is that of UTF-8
+            raw = word.encode("utf-8", "surrogatepass")
             n, d = len(raw), 0
             for x, y in zip(before, raw):  # noqa: B905  what they share stays on the stack
                 if x != y:
@@ -164,7 +164,7 @@ class Bpe:
                 ids.append(last[i])
                 i -= width[i]
             ids.reverse()
-            self.known[word] = (len(ids), ",".join(map(self.text.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids)), tuple(ids))
+            self.known[word] = (len(ids), ",".join(map(self.text.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids)))
             before = raw
 
     def split(self, text: str) -> list[str]:
@@ -172,16 +172,18 @@ class Bpe:
             return self.find(text)
         return list(chain.from_iterable([x] if i % 2 else self.find(x) for i, x in enumerate(self.cut.split(text)) if x))
 
-    def encoded(self, texts: list[str]) -> list[list[tuple[int, str, bytes, tuple[int, ...]]]]:
-        """Of each text its words' (number of ids, ids in decimal, decoded bytes, ids)."""
+    def encoded(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
+        """Of each text its words' (number of ids, ids in decimal, decoded bytes)."""
         words = [self.split(t) for t in texts]
+        if len(self.known) > self.cache:
+            self.known, self.older = {}, self.known
         new = set(chain.from_iterable(words)) - self.known.keys() - self.special.keys()
-        if new:
-            if len(self.known) > self.cache:
-                new = set(chain.from_iterable(words)) - self.special.keys()
+        for w in new & self.older.keys():
+            self.known[w] = self.older[w]
+        if new := new - self.known.keys():
             self.learn(new)
         for t, i in self.special.items():
-            self.known[t] = (1, str(i), self.bytes[i], (i,))
+            self.known[t] = (1, str(i), self.bytes[i])
         get = self.known.__getitem__
         return [list(map(get, w)) for w in words]
 
@@ -205,7 +207,7 @@ def read(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _texts(column: pa.Array, limit: int = CHUNK) -> Iterable[list[str]]:
+def _texts(column: pa.Array, limit: int = 4 * CHUNK) -> Iterable[list[str]]:
     _, offsets = buffers(column)
     for i, j in chunks(offsets, limit):
         yield ["" if x is None else x for x in column.slice(i, j - i).to_pylist()]
@@ -218,7 +220,7 @@ def ids_column(shared, text: Column) -> Column:
     def run(column: pa.Array) -> pa.Array:
         model, out = _model(shared), []
         for texts in _texts(column):
-            out += [list(chain.from_iterable(e[3] for e in x)) for x in model.encoded(texts)]
+            out += [[int(i) for e in x for i in e[1].split(",")] for x in model.encoded(texts)]
         return pa.array(out, pa.list_(pa.int32()))
 
     return run(text)
@@ -243,7 +245,7 @@ def digest_column(shared, text: Column) -> Column:
         model, counts, a, b = _model(shared), [], [], []
         for texts in _texts(column):
             for x in model.encoded(texts):
-                n, ids, raw, _ = zip(*x, strict=True) if x else ((), (), (), ())
+                n, ids, raw = zip(*x, strict=True) if x else ((), (), ())
                 counts.append(sum(n))
                 a.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
                 b.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
