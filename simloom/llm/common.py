@@ -59,6 +59,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hot_join(rows: DataFrame, one: DataFrame, counts: DataFrame, key: str, deal: str, total: int) -> DataFrame:
+    """``rows`` with what ``one`` (a row a key) has for their ``key``; no task gets all rows of a hot key.
+
+    ``counts`` (``key``, ``c``) says how many of the ``total`` rows each key has. A key of over ``most`` rows is dealt by
+    a hash of the column ``deal`` over as many parts as it needs, and its row of ``one`` is copied to each. At most
+    ``total / most``, that is 10,000 keys, are hot: their list is broadcast.
+    """
+    most = max(1000, -(-total // 10_000))
+    hot = F.broadcast(counts.where(F.col("c") > most).select(key, (F.col("c") / most).cast("int").alias("_last")))
+    last = F.coalesce("_last", F.lit(0))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.when(last > 0, F.pmod(F.xxhash64(deal), last + 1)).otherwise(0).cast("int")).drop("_last")
+    copies = one.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_last")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column, without copying them. A null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

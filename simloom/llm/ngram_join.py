@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, distinct_sets, kept, mixed, small
+from .common import buffers, chunks, distinct_sets, hot_join, kept, mixed, small
 from .graph import components
 
 ENTRY = "key long, cls long, n int, pos int, hc int"
+_LIVE = "n > 0 and doc_id is not null"
 PAIR = "kind int, a long, b long, na int, nb int, ha int, hb int, cnt int"
 
 
@@ -68,18 +69,27 @@ def _frequent(docs: DataFrame, text_col: str, width: int, tau: int, heavy: int)
     return top.key.to_numpy(np.int64)[::-1].copy().view(np.uint64)
 
 
-def _entries(docs: DataFrame, text_col: str, width: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """The block of columns that is multiplied, by rows: for each class its first columns in the common order."""
+def _hot(reps: DataFrame, total: int) -> dict[int, int]:
+    """Of classes that over a ten-thousandth of all rows are in, so at most 10,000, the smallest id."""
+    found = reps.where(F.col("c") > max(16, -(-total // 10_000))).select("cls", "doc_id").toPandas()
+    return dict(zip(found.cls.tolist(), found.doc_id.tolist(), strict=True))
+
+
+def _entries(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, frequent: np.ndarray, hot: dict[int, int]) -> DataFrame:
+    """The block of columns that is multiplied, by rows: for each class its first columns in the common order.
+
+    A class of many rows speaks through the row of its smallest id, others perhaps more than once.
+    """
     rank = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[rank], rank))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[rank], rank, hot))
 
     def run(batches):
-        known, place = shared.value
-        for _, _, sets in _sets(batches, 0, width):
+        known, place, speaker = shared.value
+        for batch, i, sets in _sets(batches, 1, width):
             out, seen = [], set()
-            for s in sets:
+            for s, own in zip(sets, batch.column(0).slice(i, len(sets)).to_pylist(), strict=True):
                 n, c = len(s), _class_of(s)
-                if not n or c in seen:
+                if not n or own is None or c in seen or speaker.get(c, own) != own:
                     continue
                 seen.add(c)
                 p = n - -(-num * n // den) + 1
@@ -101,11 +111,14 @@ def _entries(docs: DataFrame, text_col: str, width: int, num: int, den: int, fre
                     ["key", "cls", "n", "pos", "hc"],
                 )
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, ENTRY)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENTRY)
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Sorted entries in pieces that end where a key ends. Only a key's own rows are ever held beyond a batch."""
+def _columns(batches: Iterator[pa.RecordBatch], over: int | None = None, limit: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """Sorted entries in pieces that end where a key ends. Only a key's own rows are ever held beyond a batch.
+
+    With ``over``, a key of more than ``limit`` rows comes in pieces that share ``over`` rows, so each has more than that.
+    """
     held: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [np.asarray(c) for c in batch.columns]
@@ -117,6 +130,10 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             yield [np.concatenate(x) for x in zip(*held, head, strict=True)] if held else head
             held = []
         held.append([c[cut:] for c in cols])
+        if over is not None and sum(len(h[0]) for h in held) > limit:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield whole
+            held = [[c[-over:] for c in whole]]
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
@@ -151,7 +168,7 @@ def _products(entries: DataFrame, num: int, den: int, wide: int, near: int) -> D
     """kind 0: pairs with overlap counts; kind 1: entries (a key, b class, na size, nb place, ha heavy count) of wide columns."""
 
     def run(batches):
-        for key, cls, n, pos, hc in _columns(batches):
+        for key, cls, n, pos, hc in _columns(batches, wide + 1):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(starts, len(key)))
             left, right = [], []
@@ -217,10 +234,10 @@ def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return total.where(f"cnt + least(ha, hb) + greatest({need('na')}, {need('nb')}) - 1 >= ({num} * (na + nb) + {num + den - 1}) div {num + den}").select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, of: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs that link, by the intersection of whole rows."""
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = of.join(ends, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    wanted = reps.join(ends, "cls", "left_semi").select("doc_id").distinct()
 
     def rows(batches):
         for _, _, sets in _sets(batches, 1, width):
@@ -245,25 +262,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, of:
     return joined.select("a", "b", "ra", "rb").mapInArrow(test, "a long, b long")
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, tau: int = 8, heavy: int = 200_000, wide: int = 64, near: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Classes and links between them: (``doc_id, cls, n``), (``a, b``).
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, tau: int = 8, heavy: int = 200_000, wide: int = 64, near: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, classes and links between these: (``doc_id, cls, n``), (``cls, doc_id, c``: smallest id, rows), (``a, b``).
 
     Links are all pairs of classes that ``den * intersection >= num * union``, but for pairs within wide columns whose
     classes other links already connect. Two sets share a class by a 64-bit hash.
     """
     of = kept(classes(docs, id_col, text_col, width), "classes")
-    live = of.where("n > 0 and doc_id is not null")
+    reps = kept(of.where(_LIVE).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")), "reps")
     frequent = _frequent(docs, text_col, width, tau, heavy)
-    met = kept(_products(_entries(docs, text_col, width, num, den, frequent), num, den, wide, near), "products")
+    met = kept(_products(_entries(docs, id_col, text_col, width, num, den, frequent, _hot(reps, of.count())), num, den, wide, near), "products")
     pairs = kept(_possible(met.where("kind = 0"), num, den), "pairs")
-    links = kept(_verified(pairs, docs, id_col, text_col, live, width, num, den), "links")
+    links = kept(_verified(pairs, docs, id_col, text_col, reps, width, num, den), "links")
     wide_columns = met.where("kind = 1")
     if wide_columns.limit(1).count():
         roots = components(links, "a", "b")
         rest = kept(_possible(_residue(wide_columns, roots, num, den), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if rest.limit(1).count():
-            links = links.union(kept(_verified(rest, docs, id_col, text_col, live, width, num, den), "links"))
-    return of, links
+            links = links.union(kept(_verified(rest, docs, id_col, text_col, reps, width, num, den), "links"))
+    return of, reps, links
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
@@ -273,9 +290,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null or blank text has no shingle and no link: its component is its own id. A row of null id links with nothing and
     has a null component. Rows that repeat an id count as rows of one document. Other columns are left alone.
     """
-    of, links = link_classes(docs, id_col, text_col, width, num, den, **options)
+    of, reps, links = link_classes(docs, id_col, text_col, width, num, den, **options)
     roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
-    least = of.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
-    rows = of.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))).alias("component_id"))
-    return rows
+    least = reps.select("cls", F.col("doc_id").alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    n = reps.agg(F.sum("c")).first()[0] or 0
+    by_root = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    named = kept(hot_join(least, by_root.drop("c"), by_root, "root", "cls", n).select("cls", "component_id"), "named")
+    rows = hot_join(of.where(_LIVE), named, reps.select("cls", "c"), "cls", "doc_id", n)
+    alone = of.where(f"not ({_LIVE})").withColumn("component_id", F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone.select("doc_id", "n", "component_id"))

@@ -337,3 +337,32 @@ def test_pipeline_awkward(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs(spark), SF)
     assert kept.where("doc_id = 4").count() == 1 and kept.where("doc_id = 5").count() == 0 and kept.where("doc_id is null").count() == 1
     assert y.count() == 1
+
+
+def test_hot_join(spark):
+    """A key of most rows is dealt over several tasks; the rows are those of the plain join."""
+    from simloom.llm.common import hot_join
+
+    rows = spark.range(6000).select(F.when(F.col("id") < 5000, 7).otherwise(F.col("id") % 50 + 100).alias("k"), F.col("id").alias("v"))
+    one = rows.select("k").distinct().where("k <> 103").withColumn("name", F.concat(F.lit("n"), "k"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("c"))
+    got = hot_join(rows, one, counts, "k", "v", 6000)
+    assert got.columns == ["k", "v", "name"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(one, "k").collect()))
+    assert hot_join(rows.limit(0), one, counts.limit(0), "k", "v", 0).count() == 0
+
+
+def test_wide_key_in_pieces():
+    """Every piece of a key that is cut has more than ``over`` rows, and no row is left out."""
+    import pyarrow as pa
+
+    from simloom.llm.ngram_join import _columns
+
+    key = np.repeat(np.array([1, 2, 3]), [3, 95, 4])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 10]), pa.array(np.arange(len(key))[i : i + 10])], ["key", "at"]) for i in range(0, len(key), 10)]
+    pieces = list(_columns(iter(batches), over=6, limit=20))
+    assert len(pieces) > 3
+    assert all(np.count_nonzero(p[0] == 2) > 6 or not (p[0] == 2).any() for p in pieces[:-1])
+    assert set(np.concatenate([p[1] for p in pieces]).tolist()) == set(range(len(key)))
+    whole = list(_columns(iter(batches)))
+    assert sum(len(p[0]) for p in whole) == len(key)
