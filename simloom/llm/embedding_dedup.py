@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from simloom.operators.hnsw import Hnsw
 
-from .common import kept
+from .common import hot_join, kept
 from .graph import components
 
 _MARGIN = 1e-5  # what single precision may be off
@@ -142,6 +142,11 @@ def near_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     links = found.where("n > 0").groupBy(F.col("a").alias("h1")).agg(F.sum("n").alias("n"))
     least_id = rows.where("v is not null").groupBy("h1").agg(F.min("vec_id").alias("least"), F.count("*").alias("c"))
     least_id = least_id.join(roots, "h1", "left").join(links, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
-    named = least_id.join(least_id.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h1", "component_id", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links"))
-    out = rows.select("vec_id", "h1").join(named, "h1", "left").withColumns({"component_id": F.coalesce("component_id", "vec_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    least_id = kept(least_id, "classes")
+    by_root = least_id.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    named = hot_join(least_id.drop("c"), by_root.drop("c"), by_root, "root", "h1", n).join(least_id.select("h1", "c"), "h1")
+    named = kept(named.select("h1", "component_id", (F.coalesce("n", F.lit(0)) + F.col("c") - 1).alias("n_links")), "named")
+    met = hot_join(rows.where("v is not null").select("vec_id", "h1"), named, least_id.select("h1", "c"), "h1", "vec_id", rows.count())
+    met = met.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return met.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
