@@ -11,7 +11,8 @@ is taken by blocks of columns, rare shingles first, and size-derived bounds disc
   count plus what is left cannot reach ``ceil(t / (1 + t) * (a + b))``.
 * What survives is intersected on whole rows; the exact test is ``den * intersection >= num * union``.
 * A column of over ``wide`` classes emits no pairs within itself: neighbours in a column-dependent order are paired
-  (linear), found links are contracted, and only pairs of different components meet in a second round, blockwise.
+  (linear), found links are contracted, and only pairs of different components meet in a second round, blockwise. Their
+  counts there add to those of the first round.
 
 So components are exact and no column yields all its pairs.
 """
@@ -277,7 +278,9 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wide_columns = met.where("kind = 1")
     if wide_columns.limit(1).count():
         roots = components(links, "a", "b")
-        rest = kept(_possible(_residue(wide_columns, roots, num, den), num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        # a pair's shared columns may be partly narrow, partly wide: only both counts together bound its overlap
+        both = met.where("kind = 0").union(_residue(wide_columns, roots, num, den))
+        rest = kept(_possible(both, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if rest.limit(1).count():
             links = links.union(kept(_verified(rest, docs, id_col, text_col, reps, width, num, den), "links"))
     return of, reps, links

@@ -289,6 +289,22 @@ def test_ngram_join_large_groups(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(df, **options).collect()} == want, options
 
 
+def test_ngram_join_partly_wide(spark):
+    """Most of a text is a passage of many documents: what a pair shares is partly in narrow, partly in unlisted wide columns."""
+    r = np.random.default_rng(12)
+    passage, texts = " ".join(f"p{i}" for i in range(300)), []
+    for i in range(60):
+        own = [f"o{i}_{k}" for k in range(100)]
+        near = [f"x{i}_{k}" if k % 12 == 6 else w for k, w in enumerate(own)]
+        texts += [passage + " " + " ".join(own), passage + " " + " ".join(near)]
+    order = r.permutation(len(texts))
+    pairs = [(int(i), t) for i, t in zip(order, texts, strict=True)]
+    want = jaccard_components(pairs)
+    assert len({c for _, c in want.values()}) == 60
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similarity_components(df).collect()} == want
+
+
 def test_ngram_join_awkward(spark):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(docs(spark)).collect())
     assert got[(0, 0, 0)] == got[(1, 0, 1)] == got[(2, 0, 2)] == got[(5, 1, 4)] == 1 and got[(4, 1, 4)] == 2 and got[(None, 1, None)] == 1
