@@ -5,6 +5,10 @@ and the two after go through their vectors and a hidden layer; a word's probabil
 its class. Training takes the whole corpus: in each round every partition runs over its share of the documents from the
 same parameters, and the parameters become the mean over partitions, weighted by words. A document's score is the sum of
 log p(word | its window) over all its words.
+
+The network's classes are the frequent words and the buckets. A word in a bucket has the bucket's probability times its
+share of the bucket's words in the corpus: counts of all words stay in a table that grows with the corpus and meet the
+documents' words by hash.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, word_bounds, word_hashes
+from .common import buffers, chunks, kept, word_bounds, word_hashes
 
 SIDE, DIM, HIDDEN, CLASSES, EACH = 2, 8, 16, 32, 64
 SIZE, BUCKETS = CLASSES * EACH, 64
@@ -133,8 +137,8 @@ def _batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
             yield vocabulary.ids(h), first
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
-    """The most frequent words, by counts over all documents; ties by hash."""
+def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``key, c``: every word of the documents by hash, and how often it occurs."""
 
     def run(batches):
         for batch in batches:
@@ -143,17 +147,21 @@ def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
                 key, count = np.unique(_words(data, offsets[i : j + 1])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "c"])
 
-    counts = docs.select(text_col).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select(text_col).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The most frequent words, by counts over all documents; ties by hash."""
     return Vocabulary(counts.orderBy(F.desc("c"), "key").limit(SIZE - BUCKETS).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
 
-def fit(docs: DataFrame, text_col: str, id_col: str, rounds: int = 2, rate: float = 0.1, most_parts: int = 1024) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+def fit(docs: DataFrame, text_col: str, id_col: str, rounds: int = 2, rate: float = 0.1, most_parts: int = 1024, counts: DataFrame | None = None) -> tuple[Vocabulary, dict[str, np.ndarray]]:
     """Vocabulary and parameters learned from all documents: each is in one round's share by a hash of its id.
 
     A partition gives a fixed number of parameters, however large it is; ``most_parts`` bounds what is averaged.
     """
     spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(vocabulary(docs, text_col))
+    words = spark.sparkContext.broadcast(vocabulary(word_counts(docs, text_col) if counts is None else counts))
     p = start()
     names = list(p)
     cuts = np.cumsum([0, *(p[k].size for k in names)])
@@ -202,5 +210,56 @@ def scored(docs: DataFrame, model: tuple[Vocabulary, dict[str, np.ndarray]], tex
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """``docs`` with ``_pll`` (see :func:`scored`), by a network trained on all of them. Every row stays."""
+    """``docs`` with ``_pll`` (see :func:`scored`), by a network trained on all of them. Every row stays.
+
+    These are the probabilities of the network's classes; :func:`word_likelihood` has those of words.
+    """
     return docs.withColumn("_pll", scored(docs, fit(docs, text_col, id_col, rounds), F.col(text_col)))
+
+
+def _bucketed(docs: DataFrame, words: Vocabulary, text: Column) -> Column:
+    """The words in buckets of a text: arrays of their hashes and of how often each occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(words.sorted)
+
+    @F.arrow_udf("struct<key: array<long>, n: array<int>>")
+    def run(column: pa.Array) -> pa.Array:
+        known = shared.value
+        data, offsets = buffers(column)
+        keys, counts, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for i, j in chunks(offsets):
+            h, first = _words(data, offsets[i : j + 1])
+            text = np.repeat(np.arange(j - i), np.diff(first))
+            if len(known) and len(h):
+                rest = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
+                h, text = h[rest], text[rest]
+            order = np.lexsort((h, text))
+            h, text = h[order], text[order]
+            lead = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])) if len(h) else np.zeros(0, np.int64)
+            keys.append(h[lead])
+            counts.append(np.diff(np.append(lead, len(h))))
+            sizes.append(np.bincount(text[lead], minlength=j - i))
+        at = pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(np.concatenate(keys).view(np.int64))), pa.ListArray.from_arrays(at, pa.array(np.concatenate(counts).astype(np.int32)))], ["key", "n"])
+
+    return run(text)
+
+
+def word_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (all) of ``docs`` with ``_pll``: as :func:`pseudo_likelihood`, but with the probability of every word.
+
+    Over the words of the corpus these probabilities sum to one. Every row stays. The columns are written in between: name
+    those that are needed.
+    """
+    columns = docs.columns if columns is None else columns
+    counts = kept(word_counts(docs, text_col), "words")
+    words, p = fit(docs, text_col, id_col, rounds, counts=counts)
+    frequent = docs.sparkSession.createDataFrame([(int(k),) for k in words.sorted.view(np.int64)], "key long")
+    rare = counts.join(F.broadcast(frequent), "key", "left_anti").withColumn("bucket", F.col("key").bitwiseAND(F.lit(BUCKETS - 1)))
+    totals = rare.groupBy("bucket").agg(F.sum("c").alias("total"))
+    share = rare.join(F.broadcast(totals), "bucket").select("key", F.log(F.col("c") / F.col("total")).alias("share"))
+    rows = docs.withColumns({"_pll": scored(docs, (words, p), F.col(text_col)), "_rare": _bucketed(docs, words, F.col(text_col))})
+    rows = kept(rows.select(*columns, "_pll", "_rare", F.monotonically_increasing_id().alias("_row")), "scored")
+    pairs = rows.select("_row", F.explode(F.arrays_zip("_rare.key", "_rare.n")).alias("x")).select("_row", "x.key", "x.n")
+    cost = pairs.join(share, "key").groupBy("_row").agg(F.sum(F.col("n") * F.col("share")).alias("_cost"))
+    total = F.col("_pll.sum_logprob") + F.coalesce("_cost", F.lit(0.0))
+    return rows.join(cost, "_row", "left").withColumn("_pll", F.struct(F.col("_pll.n_tokens").alias("n_tokens"), total.alias("sum_logprob"))).select(*columns, "_pll")

@@ -41,7 +41,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM q LE
 
 
 def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = masked_lm.word_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
     mean = F.when(F.col("_pll.n_tokens") > 0, F.col("_pll.sum_logprob") / F.col("_pll.n_tokens"))
     return got.select("doc_id", "_pll.n_tokens", "_pll.sum_logprob", mean.alias("mean_logprob"))
 

@@ -106,6 +106,27 @@ def test_masked_lm_probabilities_sum_to_one():
     assert abs(np.exp(every).sum() - 1) < 1e-4
 
 
+def test_masked_lm_words_in_buckets(spark):
+    """A word in a bucket has its share of it: a text of rare words scores below the same text of commoner ones."""
+    common = " ".join(f"c{i}" for i in range(masked_lm.SIZE - masked_lm.BUCKETS))
+    often, junk = " ".join(f"m{i}" for i in range(300)), " ".join(f"j{i}" for i in range(300))
+    rows = [(i, common) for i in range(6)] + [(i, often) for i in range(10, 15)] + [(20, junk), (21, None), (21, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = {r.text: r["_pll"] for r in masked_lm.pseudo_likelihood(df).collect()}
+    got = masked_lm.word_likelihood(df).collect()
+    assert len(got) == len(rows) and masked_lm.word_likelihood(df.limit(0)).count() == 0
+    counts = Counter(w for _, t in rows if t not in (None, "", common) for w in t.split())
+    data = " ".join(counts).encode()
+    keys = masked_lm._words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0] % np.uint64(masked_lm.BUCKETS)
+    bucket, totals = dict(zip(counts, keys.tolist(), strict=True)), Counter()
+    for w, c in counts.items():
+        totals[bucket[w]] += c
+    for r in got:
+        words = r.text.split() if r.text and r.text != common else []
+        want = model[r.text].sum_logprob + sum(np.log(counts[w] / totals[bucket[w]]) for w in words)
+        assert r["_pll"].n_tokens == model[r.text].n_tokens and abs(r["_pll"].sum_logprob - want) < 1e-3 * max(1, abs(want))
+
+
 # 4 and 7
 
 
