@@ -2,7 +2,8 @@
 
 The points ``n G mod 2^31`` (``G / 2^31`` near the golden ratio's inverse) go through the cumulative target weights: each
 slot falls to a source. Slots are ranked per source, and rank r takes block ``r mod blocks`` of that source's shuffled
-documents, cut into blocks of equal tokens. All steps are DataFrame operations. Prefix sums have two levels (bucket sums,
+documents, cut into blocks of equal tokens. A block is a small part of its source's target at every size of the corpus, and
+a source weighs in the schedule by the number of its slots; what the points leave short of that number comes last. All steps are DataFrame operations. Prefix sums have two levels (bucket sums,
 then within a bucket), so no source has to fit into one task.
 """
 
@@ -54,42 +55,64 @@ def placed(rows: DataFrame, buckets: int = 4096) -> DataFrame:
     return rows.join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2"))).select(*[c for c in rows.columns if c not in ("bucket", "inside")], (F.col("base") + F.col("inside")).alias("start"))
 
 
-def schedule(goals: DataFrame, block: int, slots: int, cells: int = 1024, chunk: int = 8192) -> DataFrame:
-    """``slot, source, rank, block, pass``: the mix's order. No block comes up more than its source's cap of two passes."""
-    total = F.sum("target").over(W.partitionBy())
-    upto = F.sum("target").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
-    g = goals.where("target > 0").withColumn("hi", F.when(upto >= total * (1 - 1e-12), F.lit(float(_SPAN))).otherwise(upto / total * _SPAN))
-    g = g.withColumns({"lo": F.coalesce(F.lag("hi").over(W.orderBy(F.col("source").asc_nulls_last())), F.lit(0.0)), "blocks": F.ceil(F.col("source_size") / block)})
+def schedule(goals: DataFrame, block: int | str, slots: int, cells: int = 1024, chunk: int = 8192) -> DataFrame:
+    """``slot, source, rank, block, pass``: the mix's order. No block comes up more than its source's cap of two passes.
+
+    ``block`` is the length of all blocks or the column of ``goals`` that has each source's. A source has as many slots as
+    its target has blocks; those that the points leave out follow after slot ``slots``.
+    """
+    size = F.col(block) if isinstance(block, str) else F.lit(block)
+    g = goals.where("target > 0").withColumns({"turns": F.col("target") / size, "blocks": F.ceil(F.col("source_size") / size)})
+    g = g.withColumn("quota", F.least(F.round("turns").cast("long"), 2 * F.col("blocks")))
+    total = F.sum("turns").over(W.partitionBy())
+    upto = F.sum("turns").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
+    g = g.withColumn("hi", F.when(upto >= total * (1 - 1e-12), F.lit(float(_SPAN))).otherwise(upto / total * _SPAN))
+    g = g.withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy(F.col("source").asc_nulls_last())), F.lit(0.0)))
+    ends = g.select("source", "lo", "hi", "blocks", "quota")
     cell = _SPAN // cells
-    g = g.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.least(F.floor(F.col("hi") / cell), F.lit(cells - 1).cast("long")))))
+    g = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.least(F.floor(F.col("hi") / cell), F.lit(cells - 1).cast("long")))))
     s = goals.sparkSession.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / chunk).alias("chunk"), F.expr(f"(id % {_SPAN}L) * {_GOLDEN}L % {_SPAN}L").alias("u"))
     s = s.withColumn("cell", F.floor(F.col("u") / cell)).join(g, "cell").where("u >= lo and u < hi")
     counts = s.groupBy("source", "chunk").agg(F.count("*").alias("c"))
     base = counts.select(F.col("source").alias("s2"), F.col("chunk").alias("c2"), F.coalesce(F.sum("c").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     s = s.withColumn("inside", F.row_number().over(W.partitionBy("source", "chunk").orderBy("slot")) - 1)
     s = s.join(base, F.col("source").eqNullSafe(F.col("s2")) & (F.col("chunk") == F.col("c2"))).withColumn("rank", F.col("base") + F.col("inside"))
-    return s.where("rank < 2 * blocks").select("slot", "source", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("pass"))
+    s = s.where("rank < quota").select("slot", "source", "rank", "blocks")
+    had = counts.groupBy("source").agg(F.sum("c").alias("had")).withColumnRenamed("source", "s2")
+    short = ends.join(had, F.col("source").eqNullSafe(F.col("s2")), "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < quota")
+    late = short.select("source", F.explode(F.sequence(F.col("had"), F.col("quota") - 1)).alias("rank"), "blocks")
+    late = late.withColumn("slot", slots + F.row_number().over(W.orderBy("rank", F.col("source").asc_nulls_last())).cast("long") - 1)
+    s = s.union(late.select("slot", "source", "rank", "blocks"))
+    return s.select("slot", "source", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("pass"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[float] = (3, 1, 2), total: float = 1.5, cap: float = 2.0, pieces: int = 65536, most: int = 4096) -> DataFrame:
     """``doc_id, size, source_size, target, taken, th``, a row for each row of ``docs``: the words that the mix takes of it.
 
-    A block has ``words / pieces`` words, at least 16 and at most ``most``; a source's last block may be shorter. A null text
-    has size 0 and gives nothing; a null source is a source of its own, the last. Equal ids and repeated rows keep apart.
+    A block has ``words / pieces`` words, at least 16 and at most ``most``, but no more than a 1,024th of its source's size and
+    target (one word at least): so every source comes near its target; a source's last block may be shorter. With over 4,096
+    sources that part is larger, a 64th at most. A null text has size 0 and gives nothing; a null source is a source of its
+    own, the last. Equal ids and repeated rows keep apart.
     """
     rows = kept(sized(docs, id_col, text_col, source_col), "sized")
-    goals = kept(targets(rows, list(weights), total, cap), "targets")
-    words, aim = rows.agg(F.sum("size")).first()[0] or 0, goals.agg(F.sum("target")).first()[0] or 0.0
-    block = int(max(16, min(most, words // pieces)))
-    times = schedule(goals, block, round(aim / block)).groupBy("source", "block").agg(F.count("*").alias("times"))
-    at = kept(placed(rows).withColumn("_row", F.monotonically_increasing_id()), "placed")
-    part = at.where("size > 0").select("_row", "source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    met = part.join(times.withColumnRenamed("source", "s2").withColumnRenamed("block", "b2"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
-    share = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = met.groupBy("_row").agg(F.sum(share * F.col("times")).alias("taken"))
+    goals = targets(rows, list(weights), total, cap)
+    words, sources = rows.agg(F.sum("size")).first()[0] or 0, rows.select("source").distinct().count()
+    block, parts = int(max(16, min(most, words // pieces))), max(64, min(1024, (1 << 22) // max(sources, 1)))
+    own = F.floor(F.least(F.col("target"), F.col("source_size")) / parts)
+    goals = kept(goals.withColumn("length", F.greatest(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), own))), "targets")
+    turns = goals.agg(F.sum(F.col("target") / F.col("length"))).first()[0] or 0.0
+    times = schedule(goals, "length", round(turns)).groupBy("source").agg(F.count("*").alias("times"))
+    at = kept(placed(rows), "placed")
+    # ranks go round the blocks: every block comes up ``times div blocks`` times, the first ``times mod blocks`` once more
+    times = times.withColumnRenamed("source", "s3")
+    goals = goals.join(times, F.col("source").eqNullSafe(F.col("s3")), "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    goals = goals.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("length"))))
+    goals = goals.select("source", "source_size", "target", F.floor(F.col("times") / F.col("blocks")).alias("passes"), ((F.col("times") % F.col("blocks")) * F.col("length")).alias("upto"))
+    goals = kept(goals, "turns")
     goals = goals.withColumnRenamed("source", "s2")
-    out = at.join(taken, "_row", "left").join(F.broadcast(goals) if goals.limit(100_001).count() <= 100_000 else goals, F.col("source").eqNullSafe(F.col("s2")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "th")
+    out = at.join(F.broadcast(goals) if goals.limit(100_001).count() <= 100_000 else goals, F.col("source").eqNullSafe(F.col("s2")))
+    taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("upto") - F.col("start")))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "th")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

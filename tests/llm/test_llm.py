@@ -216,6 +216,18 @@ def test_mix(spark, real):
     assert abs(out.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] - r.taken.sum()) <= 1 and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_mix_small_sources(spark):
+    """Sources of a few hundred words beside two million come near their targets, and so do their documents in the mix."""
+    rows = [(i, "w " * 20_000, "big") for i in range(100)] + [(1000 + i, "s " * 50, "mini") for i in range(10)] + [(2000, "t " * 100, "tiny"), (3000, "one", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for most, pieces in ((4096, 488), (4096, 65536)):
+        got = mixing.mix(df, weights=[1, 1, 1], most=most, pieces=pieces).toPandas()
+        g = got.groupby(got.doc_id // 1000).agg(s=("source_size", "max"), t=("target", "max"), k=("taken", "sum"))
+        assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all() and (abs(g.k - g.t) <= 0.01 * g.t + 0.5).all(), g
+    out = mixing.mixed_documents(df, weights=[1, 1, 1], pieces=488).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).collect()
+    assert {r[0]: r[1] for r in out if r[0] != "big"} == {"mini": 1000, "tiny": 200, None: 2}
+
+
 def test_schedule_spreads(spark):
     goals = spark.createDataFrame([("a", 1000, 500.0), ("b", 1000, 250.0), (None, 1000, 250.0)], "source string, source_size long, target double")
     s = mixing.schedule(goals, 1, 1000).orderBy("slot").toPandas()
