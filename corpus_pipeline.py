@@ -24,21 +24,24 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; of rows that repeat an id, one.
+    """Of each group of near-duplicates the row of the smallest id (then text hash) stays; of rows that repeat id and text, one.
 
-    Rows of null id are no one's duplicates and stay.
+    Rows are told apart by id and text: an id that comes with unrelated texts keeps each. Rows of null id are no one's
+    duplicates and stay.
     """
     small_batches(spark)
-    groups = kept(ngram_join.similarity_components(docs.select("doc_id", "text")), "groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    rest = docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    groups = kept(ngram_join.component_rows(docs.select("doc_id", "text")), "groups")
+    named = docs.withColumn("_th", F.xxhash64("text"))
+    row = [F.col("doc_id"), F.col("th").alias("_th")]
+    gone = groups.where("component_id <> doc_id or (component_id = doc_id and component_th <> th)").select(*row).distinct()
+    rest = named.join(small(gone, 1_000_000), ["doc_id", "_th"], "left_anti")
+    twice = groups.groupBy("doc_id", "th").count().where("count > 1 and doc_id is not null").select(*row)
     if not twice.limit(1).count():
-        return rest
+        return rest.select(*docs.columns)
     few = small(twice, 1_000_000)
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = rest.join(few, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return rest.join(few, "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    order = W.partitionBy("doc_id", "_th").orderBy(F.xxhash64(*docs.columns))
+    one = rest.join(few, ["doc_id", "_th"], "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return rest.join(few, ["doc_id", "_th"], "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

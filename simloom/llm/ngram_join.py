@@ -47,13 +47,13 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Iterato
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFrame:
-    """``doc_id, cls, n``: each row's class (0 for an empty set) and the size of its shingle set."""
+    """``doc_id, th, cls, n``: each row's text by hash, its class (0 for an empty set) and the size of its shingle set."""
 
     def run(batches):
-        for batch, i, sets in _sets(batches, 1, width):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "cls", "n"])
+        for batch, i, sets in _sets(batches, 2, width):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), batch.column(1).slice(i, len(sets)), pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "th", "cls", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, cls long, n long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, th long, cls long, n long")
 
 
 def _frequent(docs: DataFrame, text_col: str, width: int, tau: int, heavy: int) -> np.ndarray:
@@ -264,13 +264,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, rep
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, tau: int = 8, heavy: int = 200_000, wide: int = 64, near: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows, classes and links between these: (``doc_id, cls, n``), (``cls, doc_id, c``: smallest id, rows), (``a, b``).
+    """Rows, classes and links between these: (``doc_id, th, cls, n``), (``cls, doc_id, th, c``: smallest row, rows), (``a, b``).
 
     Links are all pairs of classes that ``den * intersection >= num * union``, but for pairs within wide columns whose
     classes other links already connect. Two sets share a class by a 64-bit hash.
     """
     of = kept(classes(docs, id_col, text_col, width), "classes")
-    reps = kept(of.where(_LIVE).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c")), "reps")
+    reps = kept(of.where(_LIVE).groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.count("*").alias("c")).select("cls", "m.doc_id", "m.th", "c"), "reps")
     frequent = _frequent(docs, text_col, width, tau, heavy)
     met = kept(_products(_entries(docs, id_col, text_col, width, num, den, frequent, _hot(reps, of.count())), num, den, wide, near), "products")
     pairs = kept(_possible(met.where("kind = 0"), num, den), "pairs")
@@ -286,19 +286,27 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return of, reps, links
 
 
+def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
+    """``doc_id, th, n_shingles, component_id, component_th`` for every row: the row (id, hash of the text) and the smallest of its component."""
+    of, reps, links = link_classes(docs, id_col, text_col, width, num, den, **options)
+    roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
+    least = reps.select("cls", F.struct("doc_id", "th").alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    n = reps.agg(F.sum("c")).first()[0] or 0
+    by_root = least.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("c"))
+    by_root = by_root.select("root", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("component_th"), "c")
+    named = kept(hot_join(least, by_root.drop("c"), by_root, "root", "cls", n).select("cls", "component_id", "component_th"), "named")
+    rows = hot_join(of.where(_LIVE), named, reps.select("cls", "c"), "cls", "doc_id", n)
+    alone = of.where(f"not ({_LIVE})").withColumns({"component_id": F.col("doc_id"), "component_th": F.col("th")})
+    names = ["doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component_th"]
+    return rows.select(*names).union(alone.select(*names))
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: its component's smallest id under Jaccard >= num / den.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than ``width`` words is one shingle. A
     null or blank text has no shingle and no link: its component is its own id. A row of null id links with nothing and
-    has a null component. Rows that repeat an id count as rows of one document. Other columns are left alone.
+    has a null component. Components are of rows: texts that repeat an id link by what they hold only, not by the id.
+    Other columns are left alone.
     """
-    of, reps, links = link_classes(docs, id_col, text_col, width, num, den, **options)
-    roots = components(links, "a", "b").select(F.col("node").alias("cls"), "root")
-    least = reps.select("cls", F.col("doc_id").alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    n = reps.agg(F.sum("c")).first()[0] or 0
-    by_root = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
-    named = kept(hot_join(least, by_root.drop("c"), by_root, "root", "cls", n).select("cls", "component_id"), "named")
-    rows = hot_join(of.where(_LIVE), named, reps.select("cls", "c"), "cls", "doc_id", n)
-    alone = of.where(f"not ({_LIVE})").withColumn("component_id", F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone.select("doc_id", "n", "component_id"))
+    return component_rows(docs, id_col, text_col, width, num, den, **options).select("doc_id", "n_shingles", "component_id")

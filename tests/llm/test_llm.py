@@ -388,6 +388,16 @@ def test_pipeline_awkward(spark):
     assert y.count() == 1
 
 
+def test_pipeline_repeated_ids(spark):
+    """An id with different texts: one row of each group stays, whichever of the id's rows are copies of another's."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, b), (5, a), (5, b + " more"), (6, a + " more"), (7, c), (7, d), (8, e), (8, e), (8, e + " more"), (9, ""), (9, None), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+    eights = [got.pop(k) for k in ((8, e), (8, e + " more")) if k in got]
+    assert eights == [1] and got == Counter([(1, b), (5, a), (7, c), (7, d), (9, ""), (9, None), (None, a), (None, a)])
+
+
 def test_hot_join(spark):
     """A key of most rows is dealt over several tasks; the rows are those of the plain join."""
     from simloom.llm.common import hot_join
