@@ -10,11 +10,17 @@ is taken by blocks of columns, rare shingles first, and size-derived bounds disc
 * Overlap counts of that block are summed per pair. Pairs are dropped when their sizes, the places where they met, or
   count plus what is left cannot reach ``ceil(t / (1 + t) * (a + b))``.
 * What survives is intersected on whole rows; the exact test is ``den * intersection >= num * union``.
-* A column of over ``wide`` classes emits no pairs within itself: neighbours in a column-dependent order are paired
-  (linear), found links are contracted, and only pairs of different components meet in a second round, blockwise. Their
-  counts there add to those of the first round.
+* A column of over ``wide`` classes emits no pairs within itself: its members in the order of their sizes are paired with
+  the next ones and with the smallest ones (linear), and the links that this finds are contracted.
 
-So components are exact and no column yields all its pairs.
+A pair that shares a wide column may have lost counts. If its classes are still in different components, both are in a
+wide column that holds more than one component. A second round takes just the classes of such columns, counts all their
+columns, orders these anew and asks for more: the *first* column that a pair shares has, in both rows, as many columns
+from there on as the overlap needs. For classes that have a passage in common this holds for hardly more pairs than link,
+since what is their own comes first. Every such pair of different components is intersected on whole rows, narrow columns
+and the neighbours in wide ones first, then, of wide columns that still hold several components, the rest.
+
+So components are exact, whatever is wide. No column yields all its pairs, unless they all may link.
 """
 
 from __future__ import annotations
@@ -165,6 +171,13 @@ def _counted(a, b, na, nb, ha, hb) -> pa.RecordBatch:
     return _batch(0, a[lead], b[lead], *(x[order][lead] for x in (na, nb, ha, hb)), np.diff(np.append(lead, len(a))))
 
 
+def _neighbours(start: int, count: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a column's members, each with the next ``near`` and with the ``near`` smallest ones."""
+    place = np.arange(start, start + count)
+    pairs = [(place[: count - d], place[d:]) for d in range(1, near + 1)] + [(np.full(count - d - 1, start + d), place[d + 1 :]) for d in range(near)]
+    return np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs])
+
+
 def _products(entries: DataFrame, num: int, den: int, wide: int, near: int) -> DataFrame:
     """kind 0: pairs with overlap counts; kind 1: entries (a key, b class, na size, nb place, ha heavy count) of wide columns."""
 
@@ -185,11 +198,10 @@ def _products(entries: DataFrame, num: int, den: int, wide: int, near: int) -> D
             for s, k in zip(starts[size > wide], size[size > wide], strict=True):
                 whole = slice(s, s + k)
                 yield _batch(1, key[whole], cls[whole], n[whole], pos[whole], hc[whole], hc[whole], hc[whole])
-                for d in range(1, near + 1):
-                    i = np.arange(s, s + k - d)
-                    ok = _fits(num, den, n[i], n[i + d], pos[i], pos[i + d]) & (cls[i] != cls[i + d])
-                    left.append(i[ok])
-                    right.append(i[ok] + d)
+                i, j = _neighbours(s, k, near)
+                ok = _fits(num, den, n[i], n[j], pos[i], pos[j]) & (cls[i] != cls[j])
+                left.append(i[ok])
+                right.append(j[ok])
             i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
             if len(i):
                 yield _counted(cls[i], cls[j], n[i], n[j], hc[i], hc[j])
@@ -199,35 +211,6 @@ def _products(entries: DataFrame, num: int, den: int, wide: int, near: int) -> D
     return dealt.mapInArrow(run, PAIR)
 
 
-def _residue(heavy: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Of wide columns, the pairs of classes that are not yet in one component."""
-    e = heavy.select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("na").alias("n"), F.col("nb").alias("pos"), F.col("ha").alias("hc")).distinct()
-    e = e.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    # the columns of one component are done
-    mixed_keys = e.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    e = e.join(mixed_keys, "key").select("key", "cls", "n", "pos", "hc", "root")
-
-    def run(batches):
-        for key, cls, n, pos, hc, root in _columns(batches):
-            for s in np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])):
-                end = int(np.searchsorted(key, key[s], side="right"))
-                left, right, held = [], [], 0
-                for i in range(s, end):  # sizes ascend: partners of i stand right after it
-                    to = i + 1 + int(np.searchsorted(n[i + 1 : end], den * int(n[i]) // num, side="right"))
-                    j = np.arange(i + 1, to)
-                    j = j[(root[j] != root[i]) & _fits(num, den, n[j], n[i], pos[j], pos[i])]
-                    if len(j):
-                        left.append(np.full(len(j), i))
-                        right.append(j)
-                        held += len(j)
-                    if held > 1 << 20 or (held and i == end - 1):
-                        x, y = np.concatenate(left), np.concatenate(right)
-                        yield _counted(cls[x], cls[y], n[x], n[y], hc[x], hc[y])
-                        left, right, held = [], [], 0
-
-    return e.repartition("key").sortWithinPartitions("key", "n", "cls").mapInArrow(run, PAIR)
-
-
 def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose summed overlap can still reach what a link needs: counts here, heavy columns, and all that comes later."""
     need = lambda n: f"({num} * {n} + {den - 1}) div {den}"
@@ -235,17 +218,20 @@ def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return total.where(f"cnt + least(ha, hb) + greatest({need('na')}, {need('nb')}) - 1 >= ({num} * (na + nb) + {num + den - 1}) div {num + den}").select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs that link, by the intersection of whole rows."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = reps.join(ends, "cls", "left_semi").select("doc_id").distinct()
+def _whole(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, name: str) -> DataFrame:
+    """``cls, row``: the sorted shingles of the classes whose smallest rows (``doc_id, th``) are wanted; written once."""
 
     def rows(batches):
-        for _, _, sets in _sets(batches, 1, width):
+        for _, _, sets in _sets(batches, 0, width):
             yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "row"])
 
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small(wanted, 1_000_000), "doc_id", "left_semi")
-    table = kept(some.mapInArrow(rows, "cls long, row binary").dropDuplicates(["cls"]), "rows")
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    some = some.join(small(wanted.select("doc_id", "th"), 1_000_000), ["doc_id", "th"], "left_semi").select("text")
+    return kept(some.mapInArrow(rows, "cls long, row binary").dropDuplicates(["cls"]), name)
+
+
+def _verified(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that link, by the intersection of whole rows."""
 
     def test(batches):
         for batch in batches:
@@ -263,26 +249,180 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, rep
     return joined.select("a", "b", "ra", "rb").mapInArrow(test, "a long, b long")
 
 
+# the second round
+
+
+def _counted_columns(table: DataFrame, tau: int, heavy: int) -> np.ndarray:
+    """The at most ``heavy`` most frequent of the columns that over ``tau`` rows of ``table`` have, rarest first."""
+
+    def run(batches):
+        for batch in batches:
+            flat = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(0)]
+            for i in range(0, len(flat), 256):
+                key, count = np.unique(np.concatenate(flat[i : i + 256]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int32))], ["key", "c"])
+
+    found = table.select("row").mapInArrow(run, "key long, c int").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > tau)
+    return found.orderBy(F.desc("c"), "key").limit(heavy).toPandas().key.to_numpy(np.int64)[::-1].copy().view(np.uint64)
+
+
+def _ordered(table: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """``key, cls, n, pos, upto``: each row's first columns in the common order, and the largest size that a partner can
+    have whose first shared column this is."""
+    rank = np.argsort(frequent)
+    shared = table.sparkSession.sparkContext.broadcast((frequent[rank], rank))
+
+    def run(batches):
+        known, place = shared.value
+        for batch in batches:
+            keys, sizes = [], []
+            for v in batch.column(1):
+                s = np.frombuffer(v.as_buffer(), np.uint64)
+                p = len(s) - -(-num * len(s) // den) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    hit = known[at] == s
+                    late = hit.nonzero()[0]
+                    s = np.concatenate([s[~hit], s[late[np.argsort(place[at[late]])]]])
+                keys.append(s[:p])
+                sizes.append(len(s))
+            if keys:
+                n, k = np.array(sizes, np.int64), np.array([len(x) for x in keys], np.int64)
+                pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                n = np.repeat(n, k)
+                upto = (n - pos) * (num + den) // num - n
+                cls = np.repeat(np.asarray(batch.column(0), np.int64), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(cls), *(pa.array(x.astype(np.int32)) for x in (n, pos, upto))], ["key", "cls", "n", "pos", "upto"])
+
+    return table.select("cls", "row").mapInArrow(run, "key long, cls long, n int, pos int, upto int")
+
+
+def _first_shared(num: int, den: int, na, nb, ua, ub) -> np.ndarray:
+    """Whether a column may be the first that two classes share: each is within the other's reach, and sizes allow a link."""
+    return (nb <= ua) & (na <= ub) & (num * np.maximum(na, nb).astype(np.int64) <= den * np.minimum(na, nb))
+
+
+def _met(a: np.ndarray, b: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs of classes, the smaller first."""
+    x, y = np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    lead = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    return pa.RecordBatch.from_arrays([pa.array(x[lead]), pa.array(y[lead])], ["a", "b"])
+
+
+def _close(entries: DataFrame, num: int, den: int, wide: int, near: int) -> DataFrame:
+    """``a, b``: pairs that meet in narrow columns, and neighbours in wide ones, of different components."""
+
+    def run(batches):
+        for key, cls, n, upto, root in _columns(batches, wide + 1):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(starts, len(key)))
+            some = []
+            for k in np.unique(size[(size > 1) & (size <= wide)]):
+                x, y = np.triu_indices(k, 1)
+                at = starts[size == k]
+                step = max(1, (1 << 20) // len(x))
+                some += [((at[t : t + step, None] + x).ravel(), (at[t : t + step, None] + y).ravel()) for t in range(0, len(at), step)]
+            some += [_neighbours(s, k, near) for s, k in zip(starts[size > wide], size[size > wide], strict=True)]
+            for i, j in some:
+                ok = (root[i] != root[j]) & _first_shared(num, den, n[i], n[j], upto[i], upto[j])
+                if ok.any():
+                    yield _met(i[ok], j[ok], cls)
+
+    mix = F.xxhash64("cls", "key")
+    dealt = entries.select("key", "cls", "n", "upto", "root").withColumn("mix", mix).repartition("key").sortWithinPartitions("key", "n", "mix").drop("mix")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _rest(entries: DataFrame, num: int, den: int, wide: int) -> DataFrame:
+    """``a, b``: all pairs that meet in wide columns of several components, and are of different ones.
+
+    A column of many members is dealt over tasks: each member comes once as the larger of a pair, and to every part as the
+    smaller one if it can be that (few are: a partner no smaller has to be in its reach).
+    """
+    mixed_keys = entries.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where(f"c > {wide} and lo < hi")
+    e = entries.join(mixed_keys.select("key", F.floor(F.col("c") / 4096).cast("int").alias("last")), "key")
+    larger = e.withColumns({"part": F.pmod(F.xxhash64("cls"), F.col("last") + 1).cast("int"), "larger": F.lit(1)})
+    smaller = e.where("upto >= n").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("last"))), "larger": F.lit(0)})
+    names = ["key", "part", "larger", "n", "cls", "upto", "root"]
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, part, larger, n, cls, upto, root = (np.asarray(c) for c in batch.columns)
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (larger[1:] != larger[:-1])]))
+            for s, e_ in zip(cuts, [*cuts[1:], len(key)], strict=True):
+                if (key[s], part[s]) != now:
+                    now, held = (key[s], part[s]), []
+                if not larger[s]:
+                    held.append((n[s:e_], cls[s:e_], upto[s:e_], root[s:e_]))
+                    continue
+                if not held:
+                    continue
+                held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                sn, sc, su, sr = held[0]
+                y = np.arange(s, e_)
+                lo, hi = np.searchsorted(sn, -(-num * n[y].astype(np.int64) // den)), np.searchsorted(sn, n[y], side="right")
+                at = 0
+                while at < len(y):  # so many pairs at a time
+                    upto_ = np.cumsum(hi[at:] - lo[at:])
+                    to = at + max(1, int(np.searchsorted(upto_, 1 << 20, side="right")))
+                    k = hi[at:to] - lo[at:to]
+                    j = np.repeat(y[at:to], k)
+                    i = np.repeat(lo[at:to] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                    ok = (sr[i] != root[j]) & _first_shared(num, den, sn[i], n[j], su[i], upto[j])
+                    if ok.any():
+                        both = np.concatenate([sc[i[ok]], cls[j[ok]]])
+                        m = len(both) // 2
+                        yield _met(np.arange(m), np.arange(m, 2 * m), both)
+                    at = to
+
+    dealt = smaller.select(*names).union(larger.select(*names)).repartition("key", "part").sortWithinPartitions("key", "part", "larger", "n")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    return entries.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _second_round(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, members: DataFrame, links: DataFrame, width: int, num: int, den: int, tau: int, heavy: int, wide: int, near: int) -> DataFrame:
+    """``links`` and those that connect classes of wide columns (``members``: ``key, cls``) beyond them."""
+    roots = components(links, "a", "b")
+    e = _rooted(members.distinct(), roots)
+    several = e.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    open_ = kept(e.join(several, "key", "left_semi").select("cls").distinct(), "open")
+    if not open_.limit(1).count():
+        return links
+    table = _whole(docs, reps.join(open_, "cls", "left_semi"), id_col, text_col, width, "rows")
+    entries = kept(_ordered(table, _counted_columns(table, tau, heavy), num, den), "entries")
+    close = kept(_verified(kept(_close(_rooted(entries, roots), num, den, wide, near), "pairs"), table, num, den), "links")
+    links = links.union(close)
+    wide_keys = entries.groupBy("key").count().where(F.col("count") > wide).select("key")
+    left = kept(_rooted(entries.join(wide_keys, "key", "left_semi"), components(links, "a", "b")), "wide")
+    if not left.limit(1).count():
+        return links
+    return links.union(kept(_verified(kept(_rest(left, num, den, wide), "pairs"), table, num, den), "links"))
+
+
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, tau: int = 8, heavy: int = 200_000, wide: int = 64, near: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows, classes and links between these: (``doc_id, th, cls, n``), (``cls, doc_id, th, c``: smallest row, rows), (``a, b``).
 
-    Links are all pairs of classes that ``den * intersection >= num * union``, but for pairs within wide columns whose
-    classes other links already connect. Two sets share a class by a 64-bit hash.
+    Links are all pairs of classes that ``den * intersection >= num * union``, but for pairs that share wide columns and
+    that other links already connect. Two sets share a class by a 64-bit hash.
     """
     of = kept(classes(docs, id_col, text_col, width), "classes")
     reps = kept(of.where(_LIVE).groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.count("*").alias("c")).select("cls", "m.doc_id", "m.th", "c"), "reps")
     frequent = _frequent(docs, text_col, width, tau, heavy)
     met = kept(_products(_entries(docs, id_col, text_col, width, num, den, frequent, _hot(reps, of.count())), num, den, wide, near), "products")
     pairs = kept(_possible(met.where("kind = 0"), num, den), "pairs")
-    links = kept(_verified(pairs, docs, id_col, text_col, reps, width, num, den), "links")
-    wide_columns = met.where("kind = 1")
-    if wide_columns.limit(1).count():
-        roots = components(links, "a", "b")
-        # a pair's shared columns may be partly narrow, partly wide: only both counts together bound its overlap
-        both = met.where("kind = 0").union(_residue(wide_columns, roots, num, den))
-        rest = kept(_possible(both, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if rest.limit(1).count():
-            links = links.union(kept(_verified(rest, docs, id_col, text_col, reps, width, num, den), "links"))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    links = kept(_verified(pairs, _whole(docs, reps.join(ends, "cls", "left_semi"), id_col, text_col, width, "rows"), num, den), "links")
+    members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"))
+    if members.limit(1).count():
+        links = _second_round(docs, id_col, text_col, reps, members, links, width, num, den, tau, heavy, wide, near)
     return of, reps, links
 
 
