@@ -13,15 +13,14 @@ import json
 from collections.abc import Iterable
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CHUNK, buffers, chunks
+from .words import Splitter, Table
 
-#: How byte-level BPE files split words (fixed).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = 1 << 60
 
 
@@ -35,7 +34,7 @@ def _byte_of() -> dict[str, int]:
 class Bpe:
     """A byte-level BPE of the tokenizers library, read from its JSON text."""
 
-    def __init__(self, text: str, cache: int = 80_000):
+    def __init__(self, text: str, limit: int = 1 << 20):
         spec = json.loads(text)
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
@@ -53,12 +52,9 @@ class Bpe:
             self.made.setdefault(ids[a + b], (left, right, rank))
         for t, i in self.special.items():
             self.bytes[i] = t.encode()
-        self.find = regex.compile(PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.text = {i: str(i) for i in self.bytes}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}  # words not met since ``known`` was full
-        self.cache = cache
+        self.text = {i: str(i).encode() for i in self.bytes}
+        self.split = Splitter(list(self.special))
+        self.table = Table(self.learn, np.uint16 if max(self.bytes) < 1 << 16 else np.uint32, limit)
         self.pairs: dict[int, bool] = {}
         self.ends: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self._automaton(ids)
@@ -127,14 +123,18 @@ class Bpe:
                     return False
         return True
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Inserts new words into a trie and encodes all of them in one depth-first traversal."""
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Inserts new words into a trie and encodes all of them in one depth-first traversal.
+
+        How many ids each word has, and the ids of all words in a row.
+        """
         pairs, step, out, beside = self.pairs, self.step, self.out, self._beside
         if len(pairs) > 500_000:
             pairs.clear()
         states, last, width = [0], [-1], [0]
         before = b""
-        for word in sorted(words):  # the order of code points is that of UTF-8
+        found: dict[str, list[int]] = {t: [i] for t, i in self.special.items()}
+        for word in sorted(set(words) - found.keys()):  # the order of code points is that of UTF-8
             raw = word.encode("utf-8", "surrogatepass")
             n, d = len(raw), 0
             for x, y in zip(before, raw):  # noqa: B905  what they share stays on the stack
@@ -164,28 +164,17 @@ class Bpe:
                 ids.append(last[i])
                 i -= width[i]
             ids.reverse()
-            self.known[word] = (len(ids), ",".join(map(self.text.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids)))
+            found[word] = ids
             before = raw
+        every = [found[word] for word in words]
+        counts = np.fromiter(map(len, every), np.int32, len(every))
+        return counts, np.fromiter(chain.from_iterable(every), np.int64, int(counts.sum()))
 
-    def split(self, text: str) -> list[str]:
-        if self.cut is None or not any(t in text for t in self.special):
-            return self.find(text)
-        return list(chain.from_iterable([x] if i % 2 else self.find(x) for i, x in enumerate(self.cut.split(text)) if x))
-
-    def encoded(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
-        """Of each text its words' (number of ids, ids in decimal, decoded bytes)."""
-        words = [self.split(t) for t in texts]
-        if len(self.known) > self.cache:
-            self.known, self.older = {}, self.known
-        new = set(chain.from_iterable(words)) - self.known.keys() - self.special.keys()
-        for w in new & self.older.keys():
-            self.known[w] = self.older[w]
-        if new := new - self.known.keys():
-            self.learn(new)
-        for t, i in self.special.items():
-            self.known[t] = (1, str(i), self.bytes[i])
-        get = self.known.__getitem__
-        return [list(map(get, w)) for w in words]
+    def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and n + 1 offsets of texts into them."""
+        starts, ends, first = self.split(data, offsets)
+        ids, upto = self.table.ids(data, starts, ends)
+        return ids, upto[first]
 
 
 _loaded: dict[int, Bpe] = {}
@@ -207,10 +196,14 @@ def read(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _texts(column: pa.Array, limit: int = 4 * CHUNK) -> Iterable[list[str]]:
-    _, offsets = buffers(column)
+def _encoded(model: Bpe, column: pa.Array, limit: int = 4 * CHUNK) -> Iterable[np.ndarray]:
+    """The ids of each text. A null is an empty text."""
+    data, offsets = buffers(column)
     for i, j in chunks(offsets, limit):
-        yield ["" if x is None else x for x in column.slice(i, j - i).to_pylist()]
+        ids, first = model.encoded(data, offsets[i : j + 1])
+        first = first.tolist()
+        for a, b in zip(first, first[1:]):  # noqa: B905
+            yield ids[a:b]
 
 
 def ids_column(shared, text: Column) -> Column:
@@ -218,10 +211,7 @@ def ids_column(shared, text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        model, out = _model(shared), []
-        for texts in _texts(column):
-            out += [[int(i) for e in x for i in e[1].split(",")] for x in model.encoded(texts)]
-        return pa.array(out, pa.list_(pa.int32()))
+        return pa.array([x.astype(np.int32) for x in _encoded(_model(shared), column)], pa.list_(pa.int32()))
 
     return run(text)
 
@@ -243,12 +233,12 @@ def digest_column(shared, text: Column) -> Column:
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def run(column: pa.Array) -> pa.Array:
         model, counts, a, b = _model(shared), [], [], []
-        for texts in _texts(column):
-            for x in model.encoded(texts):
-                n, ids, raw = zip(*x, strict=True) if x else ((), (), ())
-                counts.append(sum(n))
-                a.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                b.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+        decimal, raw = model.text.__getitem__, model.bytes.__getitem__
+        for x in _encoded(model, column):
+            ids = x.tolist()
+            counts.append(len(ids))
+            a.append(hashlib.sha256(b",".join(map(decimal, ids))).hexdigest())
+            b.append(hashlib.sha256(b"".join(map(raw, ids)).decode("utf-8", "replace").encode()).hexdigest())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(text)

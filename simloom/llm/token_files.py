@@ -8,8 +8,10 @@ Documents are sorted by id across partitions; each partition encodes its texts a
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,31 +21,59 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import buffers, chunks, shared_dir
+from .common import CHUNK, buffers, chunks, shared_dir
 from .range_coder import pack, unpack
+from .words import Splitter, Table
 
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 FILES = "part int, block int, docs long, ids long, payload binary"
 
 
 class Tokenizer:
-    """The ids of the tokenizers library for a byte-level BPE file, by tiktoken where its ids are its merge ranks, else by the trie."""
+    """The ids that the tokenizers library gives for a file's JSON text.
+
+    Of plain byte-level BPE files the library encodes each distinct word once (see :mod:`simloom.llm.words`), of others whole
+    texts.
+    """
 
     def __init__(self, text: str):
-        self.slow = bpe.Bpe(text)
-        self.size = max(self.slow.bytes) + 1
-        ranked = all(i == 256 + rank for i, (_, _, rank) in self.slow.made.items())
-        self.fast = None
-        if ranked:
-            import tiktoken
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tokenizers
+
+        self.library = tokenizers.Tokenizer.from_str(text)
+        self.library.no_truncation()
+        self.library.no_padding()
+        spec = json.loads(text)
+        self.size = largest_id(spec) + 1
+        self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.split = Splitter([t["content"] for t in spec["added_tokens"]]) if words_stand_alone(spec) else None
+        self.table = Table(self._encoded, self.dtype)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int32, len(found))
+        return counts, np.fromiter(chain.from_iterable(found), self.dtype, int(counts.sum()))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts ``data[offsets[i]:offsets[i+1]]`` in a row, and n + 1 offsets of texts into them."""
+        if self.split is None:
+            counts, ids = self._encoded([data[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            return ids, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        starts, ends, first = self.split(data, offsets)
+        ids, upto = self.table.ids(data, starts, ends)
+        return ids, upto[first]
+
+
+def words_stand_alone(spec: dict) -> bool:
+    """Whether a tokenizer file is a plain byte-level BPE whose words are those of :data:`simloom.llm.words.PATTERN`."""
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word"))
+    return bool(plain and not spec["normalizer"] and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model["type"] == "BPE" and not model.get("dropout"))
 
-            ranks = {b: i for i, b in self.slow.bytes.items() if i not in self.slow.special.values()}
-            self.fast = tiktoken.Encoding(f"own-{zlib.crc32(text.encode())}", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens=self.slow.special)
 
-    def ids(self, text: str) -> np.ndarray:
-        if self.fast is None:
-            return np.array([int(i) for w in self.slow.encoded([text])[0] for i in w[1].split(",")], np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special="all")
+def largest_id(spec: dict) -> int:
+    vocab = spec["model"]["vocab"]
+    return max([*(vocab.values() if isinstance(vocab, dict) else range(len(vocab))), *(t["id"] for t in spec["added_tokens"])])
 
 
 _held: dict[int, Tokenizer] = {}
@@ -71,17 +101,17 @@ def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", tex
     def run(batches):
         t = _tokenizer(shared.value)
         part, number, keys, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
-        last = np.array([] if end is None else [end], np.uint32)
-        dtype = np.uint16 if t.size <= 1 << 16 else np.uint32
+        last = np.array([] if end is None else [end], t.dtype)
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(keys, ids, t.size)], pa.binary())], ["part", "block", "docs", "ids", "payload"])
 
         for batch in batches:
-            _, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets):
-                for key, text in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist(), strict=True):
-                    x = np.concatenate([t.ids(text or ""), last]).astype(dtype)
+            data, offsets = buffers(batch.column(1))
+            for i, j in chunks(offsets, 4 * CHUNK):
+                found, first = t.ids(data, offsets[i : j + 1])
+                for key, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    x = np.concatenate([found[a:b], last])
                     keys.append(key)
                     ids.append(x)
                     size += len(x)
@@ -113,8 +143,7 @@ def documents(files: DataFrame, tokenizer: str) -> DataFrame:
 
 def _size(tokenizer: str) -> int:
     with open(tokenizer, encoding="utf-8") as f:
-        spec = json.load(f)
-    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+        return largest_id(json.load(f)) + 1
 
 
 def digests(files: DataFrame, tokenizer: str) -> DataFrame:
