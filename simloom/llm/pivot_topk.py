@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import kept
 
-_BLOCK = "g int, lane int, kind int, ids binary, rows binary, far binary"
-_FIELDS = ["g", "lane", "kind", "ids", "rows", "far"]
+_BLOCK = "g int, lane int, kind int, own binary, ids binary, rows binary, far binary"
+_FIELDS = ["g", "lane", "kind", "own", "ids", "rows", "far"]
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -56,22 +56,24 @@ def _pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[picked]
 
 
-def _best(ids, scores, k):
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _best(own, ids, scores, k):
+    order = np.lexsort((own, ids, -scores))[:k]
+    return own[order], ids[order], scores[order]
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, pivots: int = 24, sample: int = 512, group: int = 2048, block: int = 4096, lanes: int | None = None) -> DataFrame:
     """``query_id, rank, id, score`` of the k best candidates for each row that ``queries`` (over ``id``) picks.
 
-    Ties go to the smaller id. A query's own id is no candidate; rows that repeat an id count each. Vectors that are null
-    or hold a null or non-finite component take no part; shorter ones are padded with zeros. Pivots come from a bounded
-    sample; they change what is evaluated, never what is returned.
+    Ties go to the smaller id. A query's own row is no candidate; of rows that repeat an id each is a query and a candidate
+    by itself, also of its twins. Vectors that are null or hold a null or non-finite component take no part; shorter ones
+    are padded with zeros. An empty table gives no rows; other columns are not read. Pivots come from a bounded sample; they
+    change what is evaluated, never what is returned.
     """
     spark = vectors.sparkSession
-    base = kept(integers(vectors, id_col, vec_col, scale), "vectors")
-    stats = base.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e)).alias("m2"), F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).first()
+    base = kept(integers(vectors, id_col, vec_col, scale).withColumn("own", F.monotonically_increasing_id()), "vectors")
+    stats = base.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e)).alias("m2"), F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
     dim, m2 = stats["dim"] or 0, float(stats["m2"] or 0.0)
+    dtype = next((t for t in (np.int16, np.int32) if (stats["most"] or 0) <= np.iinfo(t).max), np.int64)  # what travels
     lanes = lanes or int(max(1, min(-(-stats["n"] // block), int(spark.conf.get("spark.sql.shuffle.partitions")))))
     groups = max(1, -(-stats["q"] // group))
     first = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
@@ -88,60 +90,60 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
             for batch in batches:
                 for i in range(0, batch.num_rows, size):
                     part = batch.slice(i, size)
-                    x, ids = _matrix(part.column(1), dim), np.asarray(part.column(0), np.int64)
+                    x, ids, own = _matrix(part.column(1), dim), np.asarray(part.column(0), np.int64), np.asarray(part.column(2), np.int64)
                     d = far(x, (x.astype(np.float64) ** 2).sum(1), kind == 1)
                     at = int(ids[0]) & 0x7FFFFFFF
                     for j in range(lanes if kind == 0 else groups):
                         g, lane = (at % groups, j) if kind == 0 else (j, at // 7 % lanes)
-                        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (g, lane, kind)] + [pa.array([b.tobytes()], pa.binary()) for b in (ids, x, d)], _FIELDS)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (g, lane, kind)] + [pa.array([b.tobytes()], pa.binary()) for b in (own, ids, x.astype(dtype), d)], _FIELDS)
 
         return run
 
     def search(batches):
         rows = (tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows))
         key, held = None, []
-        for g, lane, kind, ids, x, d in rows:
+        for g, lane, kind, own, ids, x, d in rows:
             if (g, lane) != key:
                 yield from out(held)
                 key, held = (g, lane), []
-            ids, x = np.frombuffer(ids, np.int64), np.frombuffer(x, np.int64).reshape(-1, dim)
+            own, ids, x = np.frombuffer(own, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(x, dtype).reshape(len(own) // 8, dim).astype(np.int64)
             d = np.frombuffer(d, np.float32).reshape(len(ids), -1)
             if kind == 0:
-                held.append((ids, x, d, (x.astype(np.float64) ** 2).sum(1), [(ids[:0], ids[:0])] * len(ids)))
+                held.append((own, ids, x, d, (x.astype(np.float64) ** 2).sum(1), [(ids[:0], ids[:0], ids[:0])] * len(ids)))
             else:
                 for q in held:
-                    eliminate(q, ids, x, d)
+                    eliminate(q, own, ids, x, d)
         yield from out(held)
 
-    def eliminate(q, ids, x, d):
-        qid, qx, qd, q2, top = q
-        for i in range(0, len(qid), 64):
+    def eliminate(q, own, ids, x, d):
+        qown, _, qx, qd, q2, top = q
+        for i in range(0, len(qown), 64):
             low = np.zeros((len(qd[i : i + 64]), len(ids)), np.float32)
             for p in range(qd.shape[1]):
                 np.maximum(low, np.abs(qd[i : i + 64, p, None] - d[None, :, p]), out=low)
             slack = 1 + 1e-6 * (q2[i : i + 64, None] + m2)
             high = (q2[i : i + 64, None] + m2 - low.astype(np.float64) ** 2) / 2 + slack
             for r in range(len(high)):
-                bi, bs = top[i + r]
+                bo, bi, bs = top[i + r]
                 bound = high[r]
                 may = np.flatnonzero(bound >= bs[-1]) if len(bs) == k else np.arange(len(ids))
                 may = may[np.argsort(-bound[may], kind="stable")]
                 at, step = 0, 128
                 while at < len(may) and (len(bs) < k or bound[may[at]] >= bs[-1]):
                     some = may[at : at + step]
-                    some = some[ids[some] != qid[i + r]]
+                    some = some[own[some] != qown[i + r]]
                     s = _products(qx[i + r : i + r + 1], x[some])[0]
-                    bi, bs = _best(np.concatenate([bi, ids[some]]), np.concatenate([bs, s]), k)
+                    bo, bi, bs = _best(np.concatenate([bo, own[some]]), np.concatenate([bi, ids[some]]), np.concatenate([bs, s]), k)
                     at, step = at + step, step * 4
-                top[i + r] = bi, bs
+                top[i + r] = bo, bi, bs
 
     def out(held):
-        for qid, _, _, _, top in held:
+        for own, qid, _, _, _, top in held:
             n = [len(t[0]) for t in top]
             if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(np.concatenate([t[0] for t in top])), pa.array(np.concatenate([t[1] for t in top]))], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, n)), pa.array(np.repeat(qid, n)), *(pa.array(np.concatenate([t[c] for t in top])) for c in range(3))], ["query", "query_id", "own", "id", "score"])
 
     blocks = base.where(queries).mapInArrow(packed(0, 512), _BLOCK).union(base.mapInArrow(packed(1, block), _BLOCK))
-    best = blocks.repartition(groups * lanes, "g", "lane").sortWithinPartitions("g", "lane", "kind").mapInArrow(search, "query_id long, id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    best = blocks.repartition(groups * lanes, "g", "lane").sortWithinPartitions("g", "lane", "kind").mapInArrow(search, "query long, query_id long, own long, id long, score long")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id", "own"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
