@@ -59,6 +59,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be none of ``columns`` (without regard to case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def hot_join(rows: DataFrame, one: DataFrame, counts: DataFrame, key: str, deal: str, total: int) -> DataFrame:
     """``rows`` with what ``one`` (a row a key) has for their ``key``; no task gets all rows of a hot key.
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small
+from .common import kept, small, unused
 
 #: A-Z and a-z, to lower-case these letters only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,16 +56,17 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     """``pages`` with ``_host``, ``_path``, ``_rule``, ``_verdict``.
 
     ``rules`` has ``host, path, action``; each is a canonical URL that lists its host, all subdomains, and every path that
-    starts with its own. The longest listed URL decides; ``default`` where none fits. A null URL, or one without ``://``,
-    has an empty host and path and fits no rule. Repeated rules: block wins. Rows are never merged or lost.
+    starts with its own. The longest listed URL decides, of equally long ones that with the longer host; ``default`` where
+    none fits. A null URL, or one without ``://``, has an empty host and path and fits no rule. Repeated rules: block wins.
+    Rows are never merged or lost, an empty table gives none. Columns of ``pages`` with the four names are replaced.
 
     For every suffix of the host by labels and every length that a listed path has, the key is tested in the filter;
     only possible hits reach the join. Suffixes longer than the longest listed host cannot hit and are not made.
     """
     spark = pages.sparkSession
     keyed = rules.select(F.concat("host", "path").alias("_key"), F.length("host").alias("_h"), F.length("path").alias("_p"), "action").where("_key is not null")
-    keyed = keyed.groupBy("_key").agg(F.max("action").alias("action"), F.max("_h").alias("_h"), F.max("_p").alias("_p"))
     lengths = sorted(r[0] for r in keyed.select("_p").distinct().collect())  # at most as many as a path has characters
+    keyed = keyed.groupBy("_key").agg(F.max("action").alias("action"), F.max("_h").alias("_h"))
     longest = keyed.agg(F.max("_h")).first()[0] or 0
     shared = spark.sparkContext.broadcast(bloom(keyed, "_key"))
 
@@ -91,9 +92,15 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
                 out[owner[k]].append(keys[k])
         return pa.array(out, pa.list_(pa.string()))
 
+    # the result's own columns replace those of the same name; all others of the caller stay
+    own = ["_host", "_path", "_rule", "_verdict"]
+    rest = [c for c in pages.columns if c not in own]
+    hit_col, row_col, key_col, best_col = unused(pages.columns, "_hits", "_row", "_found", "_best")
     base = pages.withColumns({"_host": host(F.col(url_col)), "_path": path(F.col(url_col))})
-    base = kept(base.withColumns({"_hits": hits("_host", "_path"), "_row": F.monotonically_increasing_id()}), "pages")
-    met = base.where("size(_hits) > 0").select("_row", F.explode("_hits").alias("_key")).join(small(keyed, most_rules), "_key")
-    best = met.groupBy("_row").agg(F.max_by(F.struct("_key", "action"), F.length("_key")).alias("_best"))
-    out = base.join(best, "_row", "left").withColumns({"_rule": F.col("_best._key"), "_verdict": F.coalesce("_best.action", F.lit(default))})
-    return out.drop("_hits", "_row", "_best")
+    base = base.withColumn(hit_col, hits("_host", "_path")).select(*rest, "_host", "_path", hit_col, F.monotonically_increasing_id().alias(row_col))
+    base = kept(base, "pages")
+    keys = small(keyed.select(F.col("_key").alias(key_col), F.col("_h").alias("_host_length"), "action"), most_rules)
+    met = base.where(F.size(hit_col) > 0).select(row_col, F.explode(hit_col).alias(key_col)).join(keys, key_col)
+    best = met.groupBy(row_col).agg(F.max_by(F.struct(key_col, "action"), F.struct(F.length(key_col), "_host_length")).alias(best_col))
+    out = base.join(best, row_col, "left")
+    return out.select(*rest, "_host", "_path", F.col(best_col)[key_col].alias("_rule"), F.coalesce(F.col(best_col)["action"], F.lit(default)).alias("_verdict"))

@@ -66,9 +66,9 @@ def rule_of(url, rules):
     if url and "://" in url:
         host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S).groups()
         host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
-    fit = [(len(h + p), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fit, default=(0, None, "allow"))
-    return host, path, best[1], best[2]
+    fit = [(len(h + p), len(h), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=(0, 0, None, "allow"))
+    return host, path, best[2], best[3]
 
 
 def test_url_filter(spark):
@@ -79,6 +79,12 @@ def test_url_filter(spark):
     assert len(got) == len(pages.collect())
     for r in got:
         assert (r["_host"], r["_path"], r["_rule"], r["_verdict"]) == rule_of(r["url"], queries.RULES), r["url"]
+    tie = [("a.b.com", "/", "block"), ("b.com", "/xy", "allow"), ("b.com", "/q", "block"), ("b.com", "/q", "allow")]  # equally long: the longer host
+    odd = spark.createDataFrame([(0, "http://a.b.com/xyz", 1, 2, "k"), (1, "http://b.com/xyz", 1, 2, "k"), (2, "http://c.b.com/q", 1, 2, "k")], "page_id long, url string, _row int, _hits int, _KEY string")
+    out = url_filter.judge(odd, spark.createDataFrame(tie, "host string, path string, action string"))
+    assert out.columns == [*odd.columns, "_host", "_path", "_rule", "_verdict"]
+    for r in out.collect():
+        assert (r["_row"], r["_hits"], r["_KEY"]) == (1, 2, "k") and (r["_host"], r["_path"], r["_rule"], r["_verdict"]) == rule_of(r["url"], tie[:3]), r["url"]
     many = [(f"h{i % 50}.org", f"/{i}", "block") for i in range(5000)]
     pages = spark.createDataFrame([(i, f"http://www.h{i % 60}.org/{i * 7}") for i in range(900)], "page_id long, url string")
     for r in url_filter.judge(pages, spark.createDataFrame(many, "host string, path string, action string"), most_rules=10).collect():
@@ -165,14 +171,21 @@ def test_embedding_dedup(spark):
 def test_exact_top_k(spark):
     rows, df = vectors(spark)
     ok = [(r[0], [int(np.floor(256 * v)) for v in r[1]] + [0] * (8 - len(r[1]))) for r in rows if r[0] is not None and r[1] is not None and all(v is not None and np.isfinite(v) for v in r[1])]
-    want = set()
-    for q, x in ok:
-        if q % 10 == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for c, y in ok if c != q)[:5]
-            want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
+    def best(every, part):
+        found = Counter()
+        for i, (q, x) in enumerate(every):
+            if q % part == 0:
+                top = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for j, (c, y) in enumerate(every) if j != i)[:5]
+                found += Counter((q, k + 1, c, -s) for k, (s, c) in enumerate(top))
+        return found
+
+    rows_of = lambda got: Counter((r.query_id, r["rank"], r.id, r.score) for r in got.collect())
     for options in ({}, {"group": 4, "block": 32, "lanes": 3, "pivots": 3}):
-        got = pivot_topk.top_k(df, F.col("id") % 10 == 0, 5, **options).collect()
-        assert {(r.query_id, r["rank"], r.id, r.score) for r in got} == want and len(got) == len(want)
+        assert rows_of(pivot_topk.top_k(df, F.col("id") % 10 == 0, 5, **options)) == best(ok, 10)
+    twins = [(0, [1, 2]), (0, [1, 2]), (0, [-3, 1]), (1, [2, 2]), (2, [0, 0]), (10, [5, -5]), (10, [5, -5])]  # rows that repeat an id
+    twin_rows = spark.createDataFrame([(i, [float(v) / 256 for v in x]) for i, x in twins], "vec_id long, embedding array<double>").repartition(3)
+    assert rows_of(pivot_topk.top_k(twin_rows, F.col("id") % 10 == 0, 5)) == best(twins, 10)
+    assert rows_of(pivot_topk.top_k(spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>"), F.col("id") == 0, 5)) == {(0, 1, 1, 0): 1}
     assert pivot_topk.top_k(df.limit(0), F.col("id") % 10 == 0, 5).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (2, [1.0])], "vec_id long, embedding array<double>")
     assert [(r.id, r.score) for r in pivot_topk.top_k(few, F.col("id") == 0, 5).orderBy("rank").collect()] == [(1, 65536), (2, 65536)]
@@ -261,6 +274,39 @@ def test_tokens(spark):
     assert bpe.round_trip(empty(spark), JSON).count() == 0 and token_files.written_and_read(empty(spark), JSON).count() == 0
 
 
+def test_words_are_those_of_the_library():
+    """Random texts of letters, quotes, blanks, other white space and special tokens: ids by words equal the library's of the text."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from simloom.llm.common import buffers
+
+    r, parts = random.Random(4), [*"ab sstmdrevl''''  \n\t é日1２.,!-😀\u3000\u00a0\u0301", "<|endoftext|>", "  ", "'s", "'ll", "'re "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<|endof", "text|>", "", "q'", "'s", "'"]
+    with open(JSON, encoding="utf-8") as f:
+        spec = f.read()
+    tok, own, small = Tokenizer.from_file(JSON), token_files.Tokenizer(spec), bpe.Bpe(spec, limit=500)
+    data, offsets = buffers(pa.array(texts))
+    for ids, first in (own.ids(data, offsets), small.encoded(data, offsets)):
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    own.split = None  # files of another kind: whole texts
+    ids, first = own.ids(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    tok, texts = Tokenizer.from_file(JSON), [" " * 1_000_000 + "a", "\n" * 300_000, "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.written_and_read(df, JSON).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in want.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in bpe.round_trip(df, JSON).collect()} == {i: (len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in want.items()}
+
+
 def test_range_coder():
     r = np.random.default_rng(0)
     for flat in (np.zeros(0, int), np.array([7]), r.integers(0, 300, 5000), np.full(9000, 299), np.tile(np.arange(50), 400)):
@@ -338,6 +384,41 @@ def test_ngram_join_partly_wide(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similarity_components(df).collect()} == want
 
 
+@pytest.mark.parametrize("passage,own", [(84, 24), (90, 24)])
+def test_ngram_join_pairs_around_a_passage(spark, passage, own):
+    """300 documents, 150 pairs of near copies, one long passage in all."""
+    r = np.random.default_rng(passage)
+    common, texts = " ".join(f"p{i}" for i in range(passage)), []
+    for i in range(150):
+        w = [f"o{i}_{k}" for k in range(own)]
+        near = list(w)
+        near[int(r.integers(0, own))] = f"x{i}"
+        texts += [" ".join(w[: own // 2]) + f" {common} " + " ".join(w[own // 2 :]), " ".join(near[: own // 2]) + f" {common} " + " ".join(near[own // 2 :])]
+    order = r.permutation(len(texts))
+    pairs = [(int(i), t) for i, t in zip(order, texts, strict=True)]
+    want = jaccard_components(pairs)
+    assert 140 <= len({c for _, c in want.values()}) <= 160
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similarity_components(df).collect()} == want
+
+
+def test_ngram_join_shared_text(spark):
+    """Random documents of which half to nearly all is one of three passages, cut at random: links that no single pair of neighbours shows."""
+    r = np.random.default_rng(31)
+    passages, texts = [[f"p{k}_{i}" for i in range(n)] for k, n in enumerate((40, 70, 120))], []
+    for i in range(400):
+        p = passages[int(r.integers(0, 3))]
+        a = int(r.integers(0, 4))
+        own = [f"o{int(r.integers(0, 60))}_{k}" for k in range(int(len(p) * r.uniform(0.02, 1.0) / 2))]
+        texts.append(" ".join(own[: len(own) // 2] + p[a : len(p) - int(r.integers(0, 4))] + own[len(own) // 2 :]))
+    pairs = [(int(i), t) for i, t in zip(r.permutation(len(texts)), texts, strict=True)]
+    want = jaccard_components(pairs)
+    assert 20 < len({c for _, c in want.values()}) < 390
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    for options in ({}, {"wide": 16, "near": 1, "tau": 2}, {"wide": 5, "near": 1, "heavy": 10}):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similarity_components(df, **options).collect()} == want, options
+
+
 def test_ngram_join_awkward(spark):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similarity_components(docs(spark)).collect())
     assert got[(0, 0, 0)] == got[(1, 0, 1)] == got[(2, 0, 2)] == got[(5, 1, 4)] == 1 and got[(4, 1, 4)] == 2 and got[(None, 1, None)] == 1
