@@ -17,8 +17,10 @@ A pair that shares a wide column may have lost counts. If its classes are still
 wide column that holds more than one component. A second round takes just the classes of such columns, counts all their
 columns, orders these anew and asks for more: the *first* column that a pair shares has, in both rows, as many columns
 from there on as the overlap needs. For classes that have a passage in common this holds for hardly more pairs than link,
-since what is their own comes first. Every such pair of different components is intersected on whole rows, narrow columns
-and the neighbours in wide ones first, then, of wide columns that still hold several components, the rest.
+since what is their own comes first. A sketch of each row, the parities of its columns in 512 places, bounds the overlap of
+near copies: parities that differ are columns that are not shared. Every pair of different components that passes is
+intersected on whole rows, narrow columns and the neighbours in wide ones first, then, of wide columns that still hold
+several components, the rest.
 
 So components are exact, whatever is wide. No column yields all its pairs, unless they all may link.
 """
@@ -251,6 +253,20 @@ def _verified(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFra
 
 # the second round
 
+_SKETCH = [f"s{i}" for i in range(8)]
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of columns in each of 512 places, as eight words."""
+    return np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64)
+
+
+def _may_link(num: int, den: int, na, nb, sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
+    """Whether sizes and sketches leave the overlap that a link needs: two rows differ in as many columns as parities at least."""
+    apart = sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64) for x, y in zip(sa, sb, strict=True))
+    both = na.astype(np.int64) + nb
+    return both - apart >= 2 * -(-num * both // (num + den))
+
 
 def _counted_columns(table: DataFrame, tau: int, heavy: int) -> np.ndarray:
     """The at most ``heavy`` most frequent of the columns that over ``tau`` rows of ``table`` have, rarest first."""
@@ -267,17 +283,18 @@ def _counted_columns(table: DataFrame, tau: int, heavy: int) -> np.ndarray:
 
 
 def _ordered(table: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """``key, cls, n, pos, upto``: each row's first columns in the common order, and the largest size that a partner can
-    have whose first shared column this is."""
+    """``key, cls, n, pos, upto`` and the sketch: each row's first columns in the common order, and the largest size that a
+    partner can have whose first shared column this is."""
     rank = np.argsort(frequent)
     shared = table.sparkSession.sparkContext.broadcast((frequent[rank], rank))
 
     def run(batches):
         known, place = shared.value
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, sketches = [], [], []
             for v in batch.column(1):
                 s = np.frombuffer(v.as_buffer(), np.uint64)
+                sketches.append(_sketch(s))
                 p = len(s) - -(-num * len(s) // den) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -291,10 +308,11 @@ def _ordered(table: DataFrame, frequent: np.ndarray, num: int, den: int) -> Data
                 pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 n = np.repeat(n, k)
                 upto = (n - pos) * (num + den) // num - n
-                cls = np.repeat(np.asarray(batch.column(0), np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(cls), *(pa.array(x.astype(np.int32)) for x in (n, pos, upto))], ["key", "cls", "n", "pos", "upto"])
+                cls, sketch = np.repeat(np.asarray(batch.column(0), np.int64), k), np.repeat(np.array(sketches), k, axis=0)
+                cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(cls), *(pa.array(x.astype(np.int32)) for x in (n, pos, upto)), *map(pa.array, sketch.T.copy())]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "cls", "n", "pos", "upto", *_SKETCH])
 
-    return table.select("cls", "row").mapInArrow(run, "key long, cls long, n int, pos int, upto int")
+    return table.select("cls", "row").mapInArrow(run, "key long, cls long, n int, pos int, upto int, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
 def _first_shared(num: int, den: int, na, nb, ua, ub) -> np.ndarray:
@@ -315,7 +333,7 @@ def _close(entries: DataFrame, num: int, den: int, wide: int, near: int) -> Data
     """``a, b``: pairs that meet in narrow columns, and neighbours in wide ones, of different components."""
 
     def run(batches):
-        for key, cls, n, upto, root in _columns(batches, wide + 1):
+        for key, cls, n, upto, root, *sketch in _columns(batches, wide + 1):
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(starts, len(key)))
             some = []
@@ -327,11 +345,13 @@ def _close(entries: DataFrame, num: int, den: int, wide: int, near: int) -> Data
             some += [_neighbours(s, k, near) for s, k in zip(starts[size > wide], size[size > wide], strict=True)]
             for i, j in some:
                 ok = (root[i] != root[j]) & _first_shared(num, den, n[i], n[j], upto[i], upto[j])
+                i, j = i[ok], j[ok]
+                ok = _may_link(num, den, n[i], n[j], [x[i] for x in sketch], [x[j] for x in sketch])
                 if ok.any():
                     yield _met(i[ok], j[ok], cls)
 
     mix = F.xxhash64("cls", "key")
-    dealt = entries.select("key", "cls", "n", "upto", "root").withColumn("mix", mix).repartition("key").sortWithinPartitions("key", "n", "mix").drop("mix")
+    dealt = entries.select("key", "cls", "n", "upto", "root", *_SKETCH).withColumn("mix", mix).repartition("key").sortWithinPartitions("key", "n", "mix").drop("mix")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -345,25 +365,25 @@ def _rest(entries: DataFrame, num: int, den: int, wide: int) -> DataFrame:
     e = entries.join(mixed_keys.select("key", F.floor(F.col("c") / 4096).cast("int").alias("last")), "key")
     larger = e.withColumns({"part": F.pmod(F.xxhash64("cls"), F.col("last") + 1).cast("int"), "larger": F.lit(1)})
     smaller = e.where("upto >= n").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("last"))), "larger": F.lit(0)})
-    names = ["key", "part", "larger", "n", "cls", "upto", "root"]
+    names = ["key", "part", "larger", "n", "cls", "upto", "root", *_SKETCH]
 
     def run(batches):
         now, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, part, larger, n, cls, upto, root = (np.asarray(c) for c in batch.columns)
+            key, part, larger, n, cls, upto, root, *sketch = (np.asarray(c) for c in batch.columns)
             cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (larger[1:] != larger[:-1])]))
             for s, e_ in zip(cuts, [*cuts[1:], len(key)], strict=True):
                 if (key[s], part[s]) != now:
                     now, held = (key[s], part[s]), []
                 if not larger[s]:
-                    held.append((n[s:e_], cls[s:e_], upto[s:e_], root[s:e_]))
+                    held.append(tuple(x[s:e_] for x in (n, cls, upto, root, *sketch)))
                     continue
                 if not held:
                     continue
                 held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
-                sn, sc, su, sr = held[0]
+                sn, sc, su, sr, *ss = held[0]
                 y = np.arange(s, e_)
                 lo, hi = np.searchsorted(sn, -(-num * n[y].astype(np.int64) // den)), np.searchsorted(sn, n[y], side="right")
                 at = 0
@@ -374,6 +394,8 @@ def _rest(entries: DataFrame, num: int, den: int, wide: int) -> DataFrame:
                     j = np.repeat(y[at:to], k)
                     i = np.repeat(lo[at:to] - np.cumsum(k) + k, k) + np.arange(k.sum())
                     ok = (sr[i] != root[j]) & _first_shared(num, den, sn[i], n[j], su[i], upto[j])
+                    i, j = i[ok], j[ok]
+                    ok = _may_link(num, den, sn[i], n[j], [x[i] for x in ss], [x[j] for x in sketch])
                     if ok.any():
                         both = np.concatenate([sc[i[ok]], cls[j[ok]]])
                         m = len(both) // 2
