@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,13 @@ def distance(name: str, q: Column, codes: Column, mins: Column, scales: Column)
 
     x = decode(codes, mins, scales)
     return l2sq(q, x) if metric(name) == "l2" else 1 - dot(q, x)
+
+
+def coded_rows(x: np.ndarray, mins: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """:func:`encode` of rows, as bytes."""
+    return np.clip(np.rint((x - mins) / scales), 0, 255).astype(np.uint8)
+
+
+def decoded_rows(codes: np.ndarray, mins: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """:func:`decode` of rows of bytes."""
+    return mins + codes * scales

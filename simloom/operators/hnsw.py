@@ -8,11 +8,15 @@ import numpy as np
 
 
 class Hnsw:
-    def __init__(self, x: np.ndarray, m: int = 16, ef: int = 40, seed: int = 3):
-        """``x``: unit rows. Rows enter in the order given, in batches that also see one another."""
-        self.x = np.ascontiguousarray(x, np.float32)
+    def __init__(self, x: np.ndarray, m: int = 16, ef: int = 40, seed: int = 3, level: np.ndarray | None = None, heuristic: bool = True):
+        """``x``: unit rows. Rows enter in the order given, in batches that also see one another.
+
+        ``level`` gives each row's highest layer (else drawn by ``seed``); without ``heuristic`` a row links to its nearest.
+        """
+        self.x, self.heuristic = np.ascontiguousarray(x, np.float32), heuristic
         n = len(x)
-        level = np.minimum((-np.log(np.random.default_rng(seed).random(n) + 1e-12) / np.log(m)).astype(np.int64), 6)
+        if level is None:
+            level = np.minimum((-np.log(np.random.default_rng(seed).random(n) + 1e-12) / np.log(m)).astype(np.int64), 6)
         self.top = int(level.max(initial=0))
         self.links = [np.full((n, 2 * m if k == 0 else m), -1, np.int32) for k in range(self.top + 1)]
         self.entry = np.array([int(level.argmax())] if n else [], np.int64)
@@ -22,7 +26,8 @@ class Hnsw:
             batch = order[done : done + min(1024, max(64, done))]
             self._insert(batch, level[batch], order[:done], ef, m)
             done += len(batch)
-        self._mend()
+        if heuristic:
+            self._mend()
 
     def _mend(self, least: int = 3, spare: int = 8) -> None:
         """Rows that few others link to get links from their own neighbours, in spare places: all stay reachable."""
@@ -67,6 +72,9 @@ class Hnsw:
         out = np.full((len(base), m), -1, np.int64)
         for i in range(0, len(base), 512):
             a, s = ids[i : i + 512], sim[i : i + 512]
+            if not self.heuristic:
+                out[i : i + 512, : min(m, a.shape[1])] = np.where(s > -3.0, a, -1)[:, :m]
+                continue
             v = self.x[np.maximum(a, 0)]
             cross = v @ v.transpose(0, 2, 1)
             taken, held = np.zeros(a.shape, bool), np.full(a.shape, -4.0, np.float32)
@@ -152,6 +160,27 @@ class Hnsw:
             at = self._beam(q, at, 4, k)[0]
         return self._beam(q, at, max(ef, 4), 0)
 
+    def search_allowed(self, q: np.ndarray, ef: int, allowed: np.ndarray) -> np.ndarray:
+        """The ``ef`` best rows of those ``allowed`` (a mask) by a beam over all rows, -1 where there are fewer.
+
+        A beam that holds fewer of them than that is widened, until it does or is as wide as the graph.
+        """
+        want = min(ef, int(allowed.sum()))
+        out, todo, wide = np.full((len(q), ef), -1, np.int64), np.arange(len(q)), min(ef, len(self.x))
+        while len(todo) and want:
+            more = []
+            for i in range(0, len(todo), 256):
+                part = todo[i : i + 256]
+                ids = self.search(q[part], wide)[0]
+                ok = (ids >= 0) & allowed[ids]
+                short = (ok.sum(1) < want) & (wide < len(self.x))
+                first = np.argsort(~ok, axis=1, kind="stable")[:, :ef]
+                got = np.where(np.take_along_axis(ok, first, 1), np.take_along_axis(ids, first, 1), -1)
+                out[part[~short], : got.shape[1]] = got[~short]
+                more.append(part[short])
+            todo, wide = np.concatenate(more), min(4 * wide, len(self.x))
+        return out
+
     def within(self, q: np.ndarray, least: float, ef: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of q, row of x) found at a similarity of ``least`` or more. A beam that is full of such rows is widened."""
         left, right = [], []

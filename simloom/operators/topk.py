@@ -1,8 +1,8 @@
 """Exact top-k of query vectors against all rows.
 
-Rows and queries are packed into blocks; a block of queries meets a block of rows in one numpy kernel that returns the k
-best of the block, and a window picks the best of all blocks (partial limits before the shuffle). Ties go to the smaller
-``ord``.
+Rows and queries are packed into blocks; a block of queries meets a block of rows in one kernel that returns the k best of
+the block, and a window picks the best of all blocks (partial limits before the shuffle). The kernel picks candidates by a
+matrix product, with room for its rounding, and sums only theirs from left to right. Ties go to the smaller ``ord``.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simloom.functions.metrics import distances, metric
+from simloom.functions.metrics import metric, unit_rows
 
 BLOCK = 1024
+#: Queries of at most this many components go to every task at once; more are dealt in groups of that size.
+MOST = 1 << 23
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -41,33 +43,82 @@ def packed(df: DataFrame, id_col: str, ord_col: str, vec_col: str, prefix: str,
     return df.select(F.col(id_col).cast("long").alias("_id"), F.col(ord_col).cast("long").alias("_ord"), F.col(vec_col).cast("array<double>").alias("_vec")).mapInArrow(run, ", ".join(f"{prefix}{c} binary" for c in ("ids", "ords", "rows")))
 
 
+def summed(kind: str, q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of rows r of q to rows c of x, summed from left to right. Cosine takes unit rows."""
+    out = np.zeros(len(r))
+    for i in range(0, len(r), 1 << 16):
+        a, b, part = q[r[i : i + (1 << 16)]].T, x[c[i : i + (1 << 16)]].T, out[i : i + (1 << 16)]
+        for u, v in zip(a, b, strict=True):
+            part += (u - v) ** 2 if kind == "l2" else u * v
+    return out if kind == "l2" else 1 - out
+
+
+def nearest(kind: str, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, row of x and distance of the k nearest rows of x, by query, nearest first; ties go to the earlier row."""
+    if kind == "cosine":
+        q, x = unit_rows(q), unit_rows(x)
+    near = None
+    if k < len(x):
+        near = q @ x.T
+        qq, xx = (q * q).sum(1)[:, None], (x * x).sum(1)
+        near = qq + xx - 2 * near if kind == "l2" else -near
+        slack = 1e-9 * (qq + xx.max(initial=0))
+    if near is not None and k and np.isfinite(near).all():
+        r, c = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k] + slack)
+    else:
+        r, c = (v.ravel() for v in np.indices((len(q), len(x) if k else 0)))
+    d = summed(kind, q, x, r, c)
+    order = np.lexsort((c, d, r))
+    r, c, d = r[order], c[order], d[order]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[first], c[first], d[first]
+
+
+def met(x: DataFrame, q: DataFrame, components: int) -> DataFrame:
+    """Every block of rows with every block of queries: a stated query set against all rows.
+
+    Queries of at most :data:`MOST` ``components`` are broadcast. More are dealt in groups; each group meets its own copy of
+    the row blocks, so nothing that grows is broadcast.
+    """
+    if components <= MOST:
+        return x.crossJoin(F.broadcast(q))
+    groups = -(-components // MOST)
+    q = q.withColumn("_g", F.pmod(F.xxhash64("qids"), F.lit(groups)))
+    x = x.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    return x.join(q, "_g").drop("_g")
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int, name: str = "l2", id_col: str = "id", vec_col: str = "vector", ord_col: str | None = None, query_id: str = "query_id", query_vec: str = "vector") -> DataFrame:
     """``query_id, rank, id, distance``: the k nearest rows of each query, or all if there are fewer. ``k = 0`` gives none."""
     kind = metric(name)
     if k < 0:
         raise ValueError("k must not be negative")
     x = packed(rows, id_col, ord_col or id_col, vec_col, "x")
-    q = packed(queries, query_id, query_id, query_vec, "q")
+    q = packed(queries, query_id, query_id, query_vec, "q").drop("qords")
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                xi, xo, xr, qi, _, qr = (b.column(c)[i].as_py() for c in range(6))
-                xi, xo, qi = (np.frombuffer(v, np.int64) for v in (xi, xo, qi))
-                xr, qr = np.frombuffer(xr, np.float64).reshape(len(xi), -1), np.frombuffer(qr, np.float64).reshape(len(qi), -1)
+                xi, xo, xr, qi, qr = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in enumerate((np.int64, np.int64, np.float64, np.int64, np.float64)))
+                xr, qr = xr.reshape(len(xi), -1), qr.reshape(len(qi), -1)
                 if xr.shape[1] != qr.shape[1]:
                     raise ValueError(f"queries have {qr.shape[1]} dimensions, rows {xr.shape[1]}")
                 by = np.argsort(xo, kind="stable")
-                d = distances(kind, qr, xr[by])
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(xi[by][order].ravel()), pa.array(xo[by][order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["query_id", "id", "ord", "distance"])
+                r, c, d = nearest(kind, qr, xr[by], k)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(xi[by][c]), pa.array(xo[by][c]), pa.array(d)], ["query_id", "id", "ord", "distance"])
+
+    pairs = met(x, q, components(queries, query_vec)).select("xids", "xords", "xrows", "qids", "qrows")
+    return best(pairs.mapInArrow(run, "query_id long, id long, ord long, distance double"), k)
+
 
-    # a query set against all rows, in blocks: the product is of blocks, not of rows
-    pairs = x.crossJoin(q).select("xids", "xords", "xrows", "qids", "qords", "qrows")
-    best = pairs.mapInArrow(run, "query_id long, id long, ord long, distance double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "ord"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "distance")
+def components(queries: DataFrame, vec_col: str) -> int:
+    return queries.agg(F.sum(F.size(vec_col))).first()[0] or 0
+
+
+def best(hits: DataFrame, k: int, order: str = "ord") -> DataFrame:
+    """``query_id, rank, id, distance``: the k nearest of the hits of each query."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", order))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "distance")
 
 
 def padded(hits: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
@@ -76,6 +127,13 @@ def padded(hits: DataFrame, queries: DataFrame, k: int, query_id: str = "query_i
     return grid.join(hits, ["query_id", "rank"], "left").select("query_id", "rank", F.coalesce("id", F.lit(-1).cast("long")).alias("id"), F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 
 
+def restricted(rows: DataFrame, allow: DataFrame | None = None, deny: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """Rows that an allow list or a deny list leaves; both at once are an error."""
+    if allow is not None and deny is not None:
+        raise ValueError("give ids to allow or ids to deny, not both")
+    return allowed(rows, allow, id_col) if allow is not None else denied(rows, deny, id_col) if deny is not None else rows
+
+
 def allowed(rows: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows of the given ids. Ids that are unknown are dropped silently."""
     return rows.join(ids.select(ids.columns[0]).distinct().toDF(id_col), id_col, "left_semi")
