@@ -14,8 +14,8 @@ _NAME = re.compile(r"[A-Za-z0-9_-]{1,64}")
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files, self.open_ = spark, Files(spark, root), {}
+    def __init__(self, spark: SparkSession, root: str, fsync: bool = True):
+        self.spark, self.files, self.open_ = spark, Files(spark, root, fsync), {}
         self.files.mkdirs()
 
     def _checked(self, name: str) -> str:
@@ -27,6 +27,7 @@ class Catalog:
         if self.files.exists(f"{self._checked(name)}/config.json"):
             raise FileExistsError(name)
         self.open_[name] = Collection.create(self.spark, self.files.at(name), dim, name=name, **options)
+        self.open_[name].files.fsync = self.files.fsync
         return self.open_[name]
 
     def get(self, name: str) -> Collection:
@@ -34,6 +35,7 @@ class Catalog:
             if not self.files.exists(f"{self._checked(name)}/config.json"):
                 raise KeyError(name)
             self.open_[name] = Collection.open(self.spark, self.files.at(name))
+            self.open_[name].files.fsync = self.files.fsync
         return self.open_[name]
 
     def names(self) -> list[str]:

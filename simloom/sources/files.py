@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession
 
 
 class Files:
-    def __init__(self, spark: SparkSession, root: str):
-        self._jvm = spark._jvm
+    def __init__(self, spark: SparkSession, root: str, fsync: bool = True):
+        self._jvm, self.fsync = spark._jvm, fsync
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self.root = root.rstrip("/")
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -19,13 +19,18 @@ class Files:
         return self._fs.exists(self._path(self.at(name)))
 
     def names(self, name: str = "") -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.at(name)))) if self.exists(name) else []
+        return sorted(self.sizes(name))
+
+    def sizes(self, name: str = "") -> dict[str, int]:
+        """The entries of a folder and their lengths."""
+        return {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(self.at(name)))} if self.exists(name) else {}
 
     def mkdirs(self, name: str = "") -> None:
         self._fs.mkdirs(self._path(self.at(name)))
 
     def rename(self, a: str, b: str) -> None:
-        if not self._fs.rename(self._path(self.at(a)), self._path(self.at(b))):
+        """``b`` must not exist: then a rename is one step in file systems that have it."""
+        if self.exists(b) or not self._fs.rename(self._path(self.at(a)), self._path(self.at(b))):
             raise OSError(f"cannot rename {a} to {b}")
 
     def delete(self, name: str) -> None:
@@ -41,12 +46,21 @@ class Files:
         finally:
             stream.close()
 
+    def tail(self, name: str, n: int) -> bytes:
+        """The last ``n`` bytes of a file, or all it has."""
+        size = self._fs.getFileStatus(self._path(self.at(name))).getLen()
+        stream = self._fs.open(self._path(self.at(name)))
+        try:
+            stream.seek(max(0, size - n))
+            return bytes(stream.readNBytes(n))
+        finally:
+            stream.close()
+
     def write(self, name: str, text: str) -> None:
-        """Written beside, then renamed: a reader sees the old text or the new one."""
-        tmp = self._path(self.at(f"{name}.tmp"))
-        stream = self._fs.create(tmp, True)
+        """A new file, whole or not there at all: written beside, then renamed. What exists is never written over."""
+        stream = self._fs.create(self._path(self.at(f"{name}.tmp")), True)
         stream.write(bytearray(text.encode()))
+        if self.fsync:
+            stream.hsync()
         stream.close()
-        if self.exists(name):
-            self.delete(name)
         self.rename(f"{name}.tmp", name)

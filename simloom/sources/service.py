@@ -1,12 +1,18 @@
-"""Collections over HTTP: a thin JSON front of a catalog, for small requests. Bulk data goes through DataFrames."""
+"""Collections over HTTP: a thin JSON front of a catalog, for small requests. Bulk data goes through DataFrames.
+
+``python -m simloom.sources.service --data-dir DIR`` serves the collections under a folder until it is told to end.
+"""
 
 from __future__ import annotations
 
+import argparse
 import json
 import re
+import signal
 import threading
 import time
 from bisect import bisect_left
+from contextlib import nullcontext
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from simloom.functions.terms import load
@@ -29,6 +35,10 @@ _ROUTES = [
 ]
 
 
+#: One at a time for each collection (creation: for all).
+_WRITES = {"create", "drop", "upsert", "delete", "checkpoint"}
+
+
 class Refused(Exception):
     def __init__(self, status: int, text: str):
         super().__init__(text)
@@ -60,6 +70,7 @@ class Service:
 
     def __init__(self, catalog: Catalog):
         self.catalog, self.spark, self.lock, self.seen = catalog, catalog.spark, threading.RLock(), {}
+        self.writing: dict[str, threading.RLock] = {}
 
     def answer(self, method: str, path: str, body: str = "") -> tuple[int, dict | str]:
         for verb, pattern, name in _ROUTES:
@@ -72,7 +83,7 @@ class Service:
         start = time.perf_counter()
         try:
             asked = load(body) if method == "POST" else {}
-            with self.lock:  # one writer a collection
+            with self._writer(rest[0] if rest else "") if name in _WRITES else nullcontext():  # readers go on meanwhile
                 status, out = getattr(self, f"_{name}")(asked, *rest)
         except Refused as e:
             status, out = e.status, {"error": str(e)}
@@ -88,6 +99,10 @@ class Service:
             self._count(name, status, time.perf_counter() - start)
         return status, out
 
+    def _writer(self, name: str) -> threading.RLock:
+        with self.lock:
+            return self.writing.setdefault(name, threading.RLock())
+
     def _count(self, name: str, status: int, took: float) -> None:
         with self.lock:
             m = self.seen.setdefault(name, {"requests": 0, "errors": 0, "seconds": 0.0, "buckets": [0] * (len(DURATIONS) + 1)})
@@ -97,7 +112,7 @@ class Service:
             m["buckets"][bisect_left(DURATIONS, took)] += 1
 
     def _health(self, body):
-        return 200, {"status": "ok", "version": self.spark.version}
+        return 200, {"status": "ok", "version": self.spark.version, "simd": "jvm"}
 
     def _metrics(self, body):
         lines = []
@@ -188,3 +203,32 @@ def serve(service: Service, host: str = "127.0.0.1", port: int = 8080) -> Thread
             pass
 
     return ThreadingHTTPServer((host, port), Handler)
+
+
+def main(args: list[str] | None = None) -> None:
+    p = argparse.ArgumentParser(prog="simloom.sources.service", description=__doc__.split("\n")[0])
+    p.add_argument("--host", default="127.0.0.1")
+    p.add_argument("--port", type=int, default=8080)
+    p.add_argument("--data-dir", required=True)
+    p.add_argument("--threads", type=int, default=0, help="cores of a local Spark (0: all, or the cluster's as configured)")
+    p.add_argument("--no-fsync", action="store_true", help="commits need not reach the disk at once")
+    got = p.parse_args(args)
+    from pyspark.sql import SparkSession
+
+    builder = SparkSession.builder.appName("simloom")
+    spark = (builder.master(f"local[{got.threads}]") if got.threads else builder).getOrCreate()
+    service = Service(Catalog(spark, got.data_dir, fsync=not got.no_fsync))
+    server = serve(service, got.host, got.port)
+    for number in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(number, lambda *_: threading.Thread(target=server.shutdown).start())
+    print(f"serving {got.data_dir} on {got.host}:{server.server_address[1]}", flush=True)
+    try:
+        server.serve_forever()
+    finally:
+        server.server_close()
+        service.close()
+        spark.stop()
+
+
+if __name__ == "__main__":
+    main()

@@ -11,14 +11,6 @@ from simloom.sources.collection import Collection
 def upserts(stream: DataFrame, into: Collection, checkpoint: str, **trigger) -> StreamingQuery:
     """Upserts every micro-batch of ``id, vector`` (``metadata``, ``pos``); batch b is committed as one seq.
 
-    A batch that was committed before a restart is recognised by its number, kept beside the collection, and skipped.
+    The batch's number is committed with its rows, so one that was committed before a restart is recognised and skipped.
     """
-    files = into.files
-
-    def batch(rows: DataFrame, number: int) -> None:
-        done = int(files.read("STREAM")) if files.exists("STREAM") else -1
-        if number > done:
-            into.upsert(rows)
-            files.write("STREAM", str(number))
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return stream.writeStream.foreachBatch(lambda rows, number: into.upsert(rows, stream=number) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
