@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     conf = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC"}
-    s = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+    s = SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]")).config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

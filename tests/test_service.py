@@ -1,11 +1,18 @@
 """The HTTP routes, once over a socket and otherwise without."""
 
 import json
+import os
+import signal
+import subprocess
+import sys
 import threading
 import urllib.error
 import urllib.request
 
+import pytest
+
 from simloom.sources.catalog import Catalog
+from simloom.sources.client import Client, Failed
 from simloom.sources.service import Service, serve
 
 
@@ -48,3 +55,41 @@ def test_routes(spark, tmp_path):
         server.server_close()
     s.close()
     assert do("DELETE", "/collections/c") == (200, {"dropped": "c"}) and do("GET", "/collections")[1] == {"collections": []}
+
+
+def test_client(spark, tmp_path):
+    s = Service(Catalog(spark, str(tmp_path / "root"), fsync=False))
+    server = serve(s, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        c = Client(f"http://127.0.0.1:{server.server_address[1]}/")
+        assert c.health()["status"] == "ok" and c.collections() == []
+        assert c.create("k", 2, metric="ip", quantization="sq8")["quantization"] == "sq8"
+        with pytest.raises(Failed) as e:
+            c.create("k", 2)
+        assert e.value.status == 409
+        assert c.upsert("k", [7, 8], [[1, 0], [0, 1]], [{"a": 1}, {}]) == 2
+        assert [h["id"] for h in c.query("k", [1, 0.5], 5)] == [7, 8] and [len(h) for h in c.query("k", [[1, 0], [0, 1]], 1, filter={"a": 1}, include_metadata=False)] == [1, 1]
+        assert c.get("k", 7)["metadata"] == {"a": 1} and c.get("k", 9) is None and c.delete("k", [8, 9]) == 1
+        assert c.checkpoint("k")["snapshot_seq"] == 2 and c.stats("k")["size"] == 1 and "requests_total" in c.metrics()
+        c.drop("k")
+        assert c.collections() == []
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@pytest.mark.skipif(not hasattr(signal, "SIGTERM"), reason="needs signals")
+def test_command_line(tmp_path):
+    """Served from the command line; when told to end, everything is checkpointed."""
+    p = subprocess.Popen([sys.executable, "-m", "simloom.sources.service", "--data-dir", str(tmp_path / "root"), "--port", "0", "--threads", "1", "--no-fsync"], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    try:
+        line = next(x for x in p.stdout if x.startswith("serving"))
+        c = Client(f"http://{line.split()[-1]}", timeout=300)
+        c.create("n", 2)
+        c.upsert("n", [1], [[1, 2]])
+        p.send_signal(signal.SIGTERM)
+        assert p.wait(300) == 0
+    finally:
+        p.kill()
+    assert any(x.name.startswith("snap-") for x in (tmp_path / "root" / "n").iterdir())
