@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, buffers, chunks
+from .common import CHUNK, buffers, chunks, model
 from .words import Splitter, Table
 
 _NEVER = 1 << 60
@@ -177,17 +177,10 @@ class Bpe:
         return ids, upto[first]
 
 
-_loaded: dict[int, Bpe] = {}
-
-
 def _model(shared) -> Bpe:
     """One model a Python worker, whatever tasks it runs."""
     text = shared.value
-    key = hash(text)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Bpe(text)
-    return _loaded[key]
+    return model(("bpe", hash(text)), lambda: Bpe(text))
 
 
 def read(spark: SparkSession, path: str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -27,10 +28,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
-    """Texts go to Python workers at most ``rows`` at a time, so that a batch of long ones stays small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> SparkSession:
+    """Texts go to Python workers at most ``rows`` and about ``size`` bytes at a time, so that a batch of long ones stays small.
+
+    Plans run after they are made, so the session keeps these settings; smaller ones of the caller stay.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -51,7 +58,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes tables of :func:`kept` that nothing will read any more."""
+    for df in frames:
+        if path := getattr(df, "_kept_at", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -129,6 +147,26 @@ def _trim() -> None:
 
 
 _libc = None
+_models: dict = {}
+
+
+def model(key, build):
+    """What ``build`` makes, kept in a Python worker over its tasks; one thing at a time: other keys' go."""
+    if key not in _models:
+        only()
+        _models[key] = build()
+    return _models[key]
+
+
+def only(*keys) -> None:
+    """Lets go of the models of other operators that ran in this worker before."""
+    if any(k not in keys for k in _models):
+        for k in [k for k in _models if k not in keys]:
+            del _models[k]
+        gc.collect()
+        _trim()
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

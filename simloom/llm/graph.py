@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, kept
+from .common import forget, hot_join, kept
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,7 +41,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        now = kept(_small(_large(now, state[0]), state[0]).where("u > v").distinct(), "edges")
+        last, now = now, kept(_small(_large(now, state[0]), state[0]).where("u > v").distinct(), "edges")
+        forget(last)
         state, old = _state(now), state
         if state == old:
             break

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, buffers, chunks, word_bounds
+from .common import CHUNK, buffers, chunks, only, word_bounds
 
 _ORDER, _BITS = 4, 16
 _FOLD = np.full(256, 32, np.uint8)  # letters and bytes above ASCII stand for themselves, the rest parts words
@@ -139,6 +139,7 @@ def predict(model: Model, docs: DataFrame, text: Column, penalty: float = 3.0) -
     @F.arrow_udf("struct<lang: string, score: double, proportions: array<double>>")
     def run(column: pa.Array) -> pa.Array:
         m = shared.value
+        only()
         data, offsets = buffers(column)
         langs, scores, parts = [], [], []
         for i, j in chunks(offsets, CHUNK):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, distinct_sets, hot_join, kept, mixed, small
+from .common import buffers, chunks, distinct_sets, forget, hot_join, kept, mixed, only, small
 from .graph import components
 
 ENTRY = "key long, cls long, n int, pos int, hc int"
@@ -48,6 +48,7 @@ def _class_of(s: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, width: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     """Batch, first row and shingle sets of the rows from there on, a chunk of text at a time."""
+    only()
     for batch in batches:
         data, offsets = buffers(batch.column(column))
         for i, j in chunks(offsets):
@@ -420,13 +421,17 @@ def _second_round(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame,
         return links
     table = _whole(docs, reps.join(open_, "cls", "left_semi"), id_col, text_col, width, "rows")
     entries = kept(_ordered(table, _counted_columns(table, tau, heavy), num, den), "entries")
-    close = kept(_verified(kept(_close(_rooted(entries, roots), num, den, wide, near), "pairs"), table, num, den), "links")
-    links = links.union(close)
+    close = kept(_close(_rooted(entries, roots), num, den, wide, near), "pairs")
+    links = links.union(kept(_verified(close, table, num, den), "links"))
     wide_keys = entries.groupBy("key").count().where(F.col("count") > wide).select("key")
     left = kept(_rooted(entries.join(wide_keys, "key", "left_semi"), components(links, "a", "b")), "wide")
-    if not left.limit(1).count():
-        return links
-    return links.union(kept(_verified(kept(_rest(left, num, den, wide), "pairs"), table, num, den), "links"))
+    forget(open_, close, entries)
+    if left.limit(1).count():
+        rest = kept(_rest(left, num, den, wide), "pairs")
+        links = links.union(kept(_verified(rest, table, num, den), "links"))
+        forget(rest)
+    forget(left, table)
+    return links
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, tau: int = 8, heavy: int = 200_000, wide: int = 64, near: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -441,10 +446,13 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = kept(_products(_entries(docs, id_col, text_col, width, num, den, frequent, _hot(reps, of.count())), num, den, wide, near), "products")
     pairs = kept(_possible(met.where("kind = 0"), num, den), "pairs")
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    links = kept(_verified(pairs, _whole(docs, reps.join(ends, "cls", "left_semi"), id_col, text_col, width, "rows"), num, den), "links")
+    table = _whole(docs, reps.join(ends, "cls", "left_semi"), id_col, text_col, width, "rows")
+    links = kept(_verified(pairs, table, num, den), "links")
+    forget(pairs, table)
     members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"))
     if members.limit(1).count():
         links = _second_round(docs, id_col, text_col, reps, members, links, width, num, den, tau, heavy, wide, near)
+    forget(met)
     return of, reps, links
 
 

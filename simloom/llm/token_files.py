@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import CHUNK, buffers, chunks, shared_dir
+from .common import CHUNK, buffers, chunks, model, only, shared_dir
 from .range_coder import pack, unpack
 from .words import Splitter, Table
 
@@ -76,15 +76,8 @@ def largest_id(spec: dict) -> int:
     return max([*(vocab.values() if isinstance(vocab, dict) else range(len(vocab))), *(t["id"] for t in spec["added_tokens"])])
 
 
-_held: dict[int, Tokenizer] = {}
-
-
 def _tokenizer(text: str) -> Tokenizer:
-    key = hash(text)
-    if key not in _held:
-        _held.clear()
-        _held[key] = Tokenizer(text)
-    return _held[key]
+    return model(("tokens", hash(text)), lambda: Tokenizer(text))
 
 
 def write(docs: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", text_col: str = "text", end: int | None = 0, partitions: int | None = None, block: int = BLOCK) -> None:
@@ -158,6 +151,7 @@ def digests(files: DataFrame, tokenizer: str) -> DataFrame:
     base = inner.join(before, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("block").alias("b"), (F.col("base") + F.col("inner")).alias("base"))
 
     def run(batches):
+        only()
         for batch in batches:
             for part, number, raw in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 keys, ids = unpack(raw.as_py(), size)
