@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, kept, word_bounds, word_hashes
+from .common import buffers, chunks, kept, only, word_bounds, word_hashes
 
 SIDE, DIM, HIDDEN, CLASSES, EACH = 2, 8, 16, 32, 64
 SIZE, BUCKETS = CLASSES * EACH, 64
@@ -130,6 +130,7 @@ def train_on(p: dict, g2: dict, ctx: np.ndarray, ids: np.ndarray, rate: float, b
 
 
 def _batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    only()
     for batch in batches:
         data, offsets = buffers(batch.column(0))
         for i, j in chunks(offsets):
@@ -155,10 +156,11 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(counts.orderBy(F.desc("c"), "key").limit(SIZE - BUCKETS).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
 
 
-def fit(docs: DataFrame, text_col: str, id_col: str, rounds: int = 2, rate: float = 0.1, most_parts: int = 1024, counts: DataFrame | None = None) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+def fit(docs: DataFrame, text_col: str, id_col: str, rounds: int = 2, rate: float = 0.1, sums: int = 64, counts: DataFrame | None = None) -> tuple[Vocabulary, dict[str, np.ndarray]]:
     """Vocabulary and parameters learned from all documents: each is in one round's share by a hash of its id.
 
-    A partition gives a fixed number of parameters, however large it is; ``most_parts`` bounds what is averaged.
+    A partition gives one row of a fixed size, however large it is. These are summed in ``sums`` tasks, a row at a time, and
+    the driver gets one row of each. How documents lie in partitions has a part in the result.
     """
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(vocabulary(word_counts(docs, text_col) if counts is None else counts))
@@ -177,14 +179,22 @@ def fit(docs: DataFrame, text_col: str, id_col: str, rounds: int = 2, rate: floa
                     train_on(own, g2, windows(ids, first)[order], ids[order], rate)
                     n += len(ids)
             if n:
-                flat = np.concatenate([own[k].ravel() for k in names]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n))], ["i", "s", "n"])
-
-        share = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(rounds)) == turn).select(text_col).coalesce(most_parts)
-        got = share.mapInArrow(run, "i int, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("v")).toPandas()
-        if len(got):
-            flat = np.zeros(cuts[-1], np.float32)
-            flat[got["i"].to_numpy()] = got["v"].to_numpy()
+                flat = np.concatenate([own[k].ravel() for k in names]).astype(np.float64) * n
+                yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["s", "n"])
+
+        def add(batches):
+            total, n = np.zeros(cuts[-1]), 0
+            for batch in batches:
+                for raw, count in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    total += np.frombuffer(raw.as_buffer(), np.float64)
+                    n += count
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["s", "n"])
+
+        share = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(rounds)) == turn).select(text_col)
+        parts = share.mapInArrow(run, "s binary, n long").repartition(sums).mapInArrow(add, "s binary, n long").collect()
+        if parts:
+            flat = (sum(np.frombuffer(r["s"], np.float64) for r in sorted(parts, key=lambda r: bytes(r["s"]))) / sum(r["n"] for r in parts)).astype(np.float32)
             p = {k: flat[a:b].reshape(p[k].shape) for k, a, b in zip(names, cuts[:-1], cuts[1:], strict=True)}
     return words.value, p
 
