@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, unused
 
 _GOLDEN, _SPAN = 1327217885, 1 << 31
 WORD = r"[^\x20\x09-\x0D]+"
@@ -116,16 +116,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them: whole copies, then one cut after the words left over. Columns as in ``docs``."""
-    taken = mix(docs, **options).groupBy("doc_id", "th").agg(F.sum("taken").alias("_t"), F.max("size").alias("_s"), F.count("*").alias("_c"))
-    taken = taken.where("_t > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.floor(F.col("_t") / F.col("_c")).alias("_t"), "_s")
+    """The documents as often as the mix takes them: whole copies, then one cut after the words left over. Columns as in ``docs``.
+
+    Null and blank texts are not taken. Rows that repeat id and text share what the mix takes of them, to the word. A null
+    source is a source of its own; an empty table gives none.
+    """
+    h, id_, th, t, s, c, n, k = unused(docs.columns, "_h", "_id", "_th", "_t", "_s", "_c", "_n", "_k")
+    taken = mix(docs, **options).groupBy("doc_id", "th").agg(F.sum("taken").alias(t), F.max("size").alias(s), F.count("*").alias(c))
+    taken = taken.where(F.col(t) > 0).select(F.col("doc_id").alias(id_), F.col("th").alias(th), t, s, c)
     text = F.coalesce("text", F.lit(""))
     few = F.broadcast(taken) if taken.limit(500_001).count() <= 500_000 else taken
-    rows = docs.withColumn("_h", F.xxhash64(text)).join(few, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    left = F.expr("_t % _s")
-    sizes = F.concat(F.array_repeat(F.col("_s"), F.expr("cast(_t div _s as int)")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("_n", F.explode(sizes))
-    cut = F.when(F.col("_n") < F.col("_s"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_n").cast("int")), " ")).otherwise(F.col("text"))
+    rows = docs.withColumn(h, F.xxhash64(text)).join(few, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(th)))
+    if taken.where(F.col(c) > 1).limit(1).count():  # the first of equal rows take a word more
+        place = F.row_number().over(W.partitionBy(id_, th).orderBy(F.xxhash64(*docs.columns)))
+        several = rows.where(F.col(c) > 1).withColumn(k, place)
+        each = F.floor(F.col(t) / F.col(c)) + (F.col(k) <= F.col(t) % F.col(c)).cast("long")
+        rows = rows.where(F.col(c) == 1).unionByName(several.withColumn(t, each).drop(k).where(F.col(t) > 0))
+    left = F.expr(f"`{t}` % `{s}`")
+    sizes = F.concat(F.array_repeat(F.col(s), F.expr(f"cast(`{t}` div `{s}` as int)")), F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn(n, F.explode(sizes))
+    cut = F.when(F.col(n) < F.col(s), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(n).cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.withColumn("text", cut)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
