@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, buffers, chunks, word_bounds, word_hashes
+from .common import CHUNK, buffers, chunks, only, word_bounds, word_hashes
 from .langid import _FOLD, _GAP, _grams, held_out
 
-SPAN, STRIDE = 24, 16
+SPAN, STRIDE = 24, 12
 _D, _H, _CHARS, _VOCAB = 8, 8, 8192, 8192
 
 
@@ -266,6 +266,7 @@ def scored(net: Net, docs: DataFrame, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
+        only()
         data, offsets = buffers(column)
         return pa.array(np.concatenate([np.zeros(0), *(shared.value.score(data, offsets[i : j + 1]) for i, j in chunks(offsets, CHUNK))]))
 
