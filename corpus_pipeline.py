@@ -8,18 +8,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simloom.llm import bpe, langid, mixing, ngram_join, toxicity
-from simloom.llm.common import kept, small, small_batches, table
+from simloom.llm.common import forget, kept, small, small_batches, table, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (null, no letter) and those whose main language has under half of the words."""
+    """Rejects documents without a language (null text, no letter) and those whose main language has under half of the words.
+
+    Null ids and languages are no reason to go; repeated rows are judged alike. An empty table gives none, and one without
+    any language to learn from keeps nothing.
+    """
     small_batches(spark)
     got = langid.identify(docs)
     return got.where((F.col("_lid.lang") != "und") & (F.col("_lid.score") >= 0.5)).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score 0.5 or more."""
+    """Rejects documents that score 0.5 or more.
+
+    Null and blank texts have the score of a text without words; labels of ids that no document has teach nothing; without
+    labels of both classes every score is 0 and all stay. Repeated rows are judged alike; an empty table gives none.
+    """
+    small_batches(spark)
     return toxicity.detect(docs, table(spark, sf_dir, "labels")).where("_toxic < 0.5").select(*docs.columns)
 
 
@@ -31,26 +40,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     small_batches(spark)
     groups = kept(ngram_join.component_rows(docs.select("doc_id", "text")), "groups")
-    named = docs.withColumn("_th", F.xxhash64("text"))
-    row = [F.col("doc_id"), F.col("th").alias("_th")]
+    th, n = unused(docs.columns, "_th", "_n")
+    named, both = docs.withColumn(th, F.xxhash64("text")), ["doc_id", th]
+    row = [F.col("doc_id"), F.col("th").alias(th)]
     gone = groups.where("component_id <> doc_id or (component_id = doc_id and component_th <> th)").select(*row).distinct()
-    rest = named.join(small(gone, 1_000_000), ["doc_id", "_th"], "left_anti")
+    rest = named.join(small(gone, 1_000_000), both, "left_anti")
     twice = groups.groupBy("doc_id", "th").count().where("count > 1 and doc_id is not null").select(*row)
     if not twice.limit(1).count():
         return rest.select(*docs.columns)
     few = small(twice, 1_000_000)
-    order = W.partitionBy("doc_id", "_th").orderBy(F.xxhash64(*docs.columns))
-    one = rest.join(few, ["doc_id", "_th"], "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return rest.join(few, ["doc_id", "_th"], "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    order = W.partitionBy(*both).orderBy(F.xxhash64(*docs.columns))
+    one = rest.join(few, both, "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    return rest.join(few, both, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them; the last taken of a source may be cut."""
+    """The documents as often as the mix takes them; the last taken of a source may be cut.
+
+    Blank and null texts are taken no words of and go; a null source is one of its own, the last. Repeated rows share.
+    """
     return mixing.mixed_documents(docs)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, copies too; a null or empty text has no ids."""
     small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -62,9 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage makes of ``documents``: each stage's result is written, read by the next, and then deleted."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = kept(docs, f"stage{i}")
+            forget(before)
     return docs
