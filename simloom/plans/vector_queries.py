@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from simloom.functions import levels, metrics, sq8, terms
 from simloom.operators import approx, current, evaluate, filters, planner, topk
 from simloom.sources.collection import Collection
+from simloom.streaming.ingest import upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -386,7 +387,7 @@ def level_histogram(spark, sf):
 @_query("ann_graph")
 def ann_graph(spark, sf):
     e = _base(spark, sf)
-    return _shown(approx.graph_top_k(e, _asked(e), 10, "cosine"))
+    return _shown(approx.graph_top_k(e, _asked(e), 10, "cosine", ef_construction=64))
 
 
 def _kept_graphs(spark, e: DataFrame, name: str, **options) -> DataFrame:
@@ -408,7 +409,7 @@ def _good(found: DataFrame, truth: DataFrame, least: float) -> DataFrame:
 def ann_graph_good(spark, sf):
     """Saved graphs, the settings of ``ann_graph``: at least 9 of the 10 true neighbours for every query."""
     e = _base(spark, sf)
-    hits = topk.best(approx.search_graphs(_kept_graphs(spark, e, "cosine"), _asked(e), 10, "cosine"), 10)
+    hits = topk.best(approx.search_graphs(_kept_graphs(spark, e, "cosine", ef_construction=64), _asked(e), 10, "cosine"), 10)
     return _good(hits, topk.top_k(e, _asked(e), 10, "cosine"), 0.9)
 
 
@@ -498,3 +499,59 @@ def collection_sq8(spark, sf):
     c.upsert(e)
     c.checkpoint()
     return _shown(c.query(_asked(e), 10, include_metadata=False))
+
+
+@_query("hits_with_metadata", _plain_sql(_knn_sql(_DOT, where="c.label <= 5")).replace("SELECT query_id, rank, id,", "SELECT query_id, rank, r.id, '{\"label\":' || e.label || '}' AS metadata,").replace("FROM r WHERE", "FROM r JOIN e ON e.id = r.id WHERE"))
+def hits_with_metadata(spark, sf):
+    """Hits with the metadata of their rows, from a collection that was closed and opened again."""
+    e = _plain(spark, sf)
+    path = _folder(spark)
+    Collection.create(spark, path, 64, metric="ip").upsert(e.withColumn("metadata", F.to_json(F.struct("label"))))
+    got = Collection.open(spark, path).query(_asked(e), 10, {"label": {"$in": [0, 1, 2, 3, 4, 5]}})
+    return _shown(got).select("query_id", "rank", "id", "metadata", "distance")
+
+
+@_query("collection_counts", """WITH n AS (SELECT count(*) AS n, CAST(count_if(vec_id % 5 = 0) AS BIGINT) AS again, CAST(count_if(vec_id % 4 = 1) AS BIGINT) AS gone FROM embeddings)
+SELECT n - gone AS size, n + again AS nodes, again + gone AS deleted, 3 AS last_seq, 1 AS snapshot_seq FROM n""")
+def collection_counts(spark, sf):
+    """What a collection says of itself after a checkpoint, an upsert of known ids and a delete."""
+    e = _plain(spark, sf).drop("label")
+    c = Collection.create(spark, _folder(spark), 64)
+    c.upsert(e)
+    c.checkpoint()
+    c.upsert(e.where("id % 5 = 0"))
+    c.delete(e.where("id % 4 = 1").select("id"))
+    s = c.stats()
+    names = ["size", "nodes", "deleted", "last_seq", "snapshot_seq"]
+    return spark.createDataFrame([tuple(s[k] for k in names)], ", ".join(f"{k} long" for k in names)).withColumns({k: F.col(k).cast("int") for k in names[3:]})
+
+
+@_query("collection_vectors", "SELECT vec_id AS id, round(sqrt(list_inner_product(v, v)), 6) AS length FROM (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings)")
+def collection_vectors(spark, sf):
+    """Stored vectors of a cosine collection have length 1 (those of the table have it before)."""
+    c = Collection.create(spark, _folder(spark), 64, metric="angular")
+    c.upsert(_plain(spark, sf).withColumn("vector", F.transform("vector", lambda x: x * 4)).drop("label"))
+    v = metrics.normalize(F.col("vector"))
+    return c.rows().select("id", F.round(F.sqrt(metrics.dot(v, v)), 6).alias("length"))
+
+
+@_query("sq8_widen", "WITH p AS (SELECT vec_id AS id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings) SELECT pos, CAST(min(x) AS DOUBLE) AS lo, CAST(max(x) AS DOUBLE) AS hi FROM p WHERE id < 1200 GROUP BY pos")
+def sq8_widen(spark, sf):
+    """Ranges of a quantizer widen with batches that begin below a thousand vectors, then stay."""
+    e = _plain(spark, sf).drop("label")
+    c = Collection.create(spark, _folder(spark), 64, metric="l2", quantization="sq8")
+    for part in ("id < 100", "id >= 100 and id < 1200", "id >= 1200"):
+        c.upsert(e.where(part))
+    rows = [(i, float(lo), float(hi)) for i, (lo, hi) in enumerate(zip(*c.ranges, strict=True))]
+    return spark.createDataFrame(rows, "pos long, lo double, hi double")
+
+
+@_query("stream_ingest", "SELECT vec_id AS id, CAST(1 AS BIGINT) AS seq FROM embeddings")
+def stream_ingest(spark, sf):
+    """The table as a stream into a collection, twice: each batch is committed once."""
+    path = _folder(spark)
+    c = Collection.create(spark, path, 64)
+    found = spark.readStream.schema("vec_id long, embedding array<float>, label int").parquet(f"{sf}/embeddings.parquet*")
+    for turn in range(2):  # the second has a checkpoint folder of its own: only the collection knows the batch
+        upserts(found.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), c, f"{path}-stream{turn}").awaitTermination()
+    return c.rows().select("id", "seq")
