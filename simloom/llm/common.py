@@ -133,6 +133,32 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         _trim()
 
 
+def spans(data: np.ndarray, offsets: np.ndarray, limit: int = 8 * CHUNK) -> Iterator[np.ndarray]:
+    """The texts of a chunk in pieces: offsets of at most about ``limit`` bytes, that end where a text does or, within a long
+    one, before a blank after something else (so within a word longer than that nowhere)."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    if hi - lo <= limit:
+        yield offsets
+        return
+    cuts = [lo]
+    while hi - cuts[-1] > limit:
+        at = cuts[-1] + limit
+        while at < hi:  # the next blank from there on that begins a gap
+            here = data[at - 1 : min(hi, at + limit)]
+            gap = np.flatnonzero((here[1:] == 32) & ((here[:-1] | 32) >= 97) & ((here[:-1] | 32) <= 122))
+            if len(gap):
+                at += int(gap[0])
+                break
+            at += limit
+        if at >= hi:
+            break
+        cuts.append(at)
+    cuts.append(hi)
+    for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+        inside = offsets[(offsets > a) & (offsets < b)]
+        yield np.concatenate([[a], inside, [b]])
+
+
 def _trim() -> None:
     """Gives freed memory back to the system, where the C library can: a Python worker outlives its tasks."""
     global _libc

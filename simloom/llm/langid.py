@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, buffers, chunks, only, word_bounds
+from .common import CHUNK, buffers, chunks, only, spans, word_bounds
 
 _ORDER, _BITS = 4, 16
 _FOLD = np.full(256, 32, np.uint8)  # letters and bytes above ASCII stand for themselves, the rest parts words
@@ -56,18 +56,20 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64), begin, first
 
 
-def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int = 1500, smoothing: float = 0.5) -> Model:
-    """Learns from at most about ``per_lang`` labelled documents of a language (a documented bound), drawn by a hash of the id.
+def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int = 1500, smoothing: float = 0.5, most_bytes: int = 1 << 25) -> Model:
+    """Learns from at most about ``per_lang`` labelled documents and ``most_bytes`` of a language (documented bounds), drawn
+    by a hash of id and text; a text that repeats under its id counts once.
 
     ``docs`` holds only rows that may be learned from; those of null text or language are left out.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1 << 20)).alias("h"))
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
+    counts = {r["lang"]: max(r["n"], r["b"] * per_lang / most_bytes) for r in sums}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((1 << _BITS, 0), np.float32))
     rate = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, per_lang / counts[x]) * (1 << 20)))) for x in langs))
-    table = rows.where(F.col("h") < rate).select("text", "lang").toArrow()
+    table = rows.where(F.col("h") < rate).groupBy("h", "text", "lang").count().select("text", "lang").toArrow()
     freq = np.zeros((1 << _BITS, len(langs)))
     code = {x: i for i, x in enumerate(langs)}
     owner = np.array([code[x] for x in table.column("lang").to_pylist()], np.int64)
@@ -103,11 +105,15 @@ def _em(p: np.ndarray, first: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[
 
 def infer(model: Model, data: np.ndarray, offsets: np.ndarray, penalty: float = 3.0, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the chosen set by document and language, and the number of words. No word: all zero."""
-    gram, begin, first = _grams(data, offsets)
-    n = np.diff(first)
-    if not len(begin) or not model.size:
+    parts, n = [], np.zeros(len(offsets) - 1, np.int64)
+    for piece in spans(data, offsets):
+        gram, begin, first = _grams(data, piece)
+        n += np.bincount(np.clip(np.searchsorted(offsets, piece[:-1], side="right") - 1, 0, max(0, len(n) - 1)), weights=np.diff(first), minlength=len(n)).astype(np.int64)
+        if len(begin):
+            parts.append(np.add.reduceat(model.logp[gram], begin, axis=0))
+    if not parts or not model.size:
         return np.zeros((len(n), model.size)), n
-    ll = np.add.reduceat(model.logp[gram], begin, axis=0)
+    ll, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(n)])
     p = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -20.0))
     alone = _sums(np.log(p), first)
     best, docs = alone.argmax(1), np.arange(len(n))
@@ -165,6 +171,7 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, penalty: float = 3.0) -> DataFrame:
-    """``docs`` with ``_lid`` (see :func:`predict`); learned from labelled rows that are not held out. Every row stays, repeated ones too."""
+    """``docs`` with ``_lid`` (see :func:`predict`; a column of that name is replaced); learned from labelled rows that are
+    not held out. Every row stays, repeated ones too; an empty table gives none."""
     model = fit(docs.where(~held_out(id_col, 4, 2)), text_col, lang_col, id_col, per_lang)
     return docs.withColumn("_lid", predict(model, docs, F.col(text_col), penalty))

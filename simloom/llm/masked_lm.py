@@ -220,7 +220,8 @@ def scored(docs: DataFrame, model: tuple[Vocabulary, dict[str, np.ndarray]], tex
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """``docs`` with ``_pll`` (see :func:`scored`), by a network trained on all of them. Every row stays.
+    """``docs`` with ``_pll`` (see :func:`scored`; a column of that name is replaced), by a network trained on all of them.
+    Every row stays, repeated ones too.
 
     These are the probabilities of the network's classes; :func:`word_likelihood` has those of words.
     """

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, buffers, chunks, only, word_bounds, word_hashes
+from .common import CHUNK, buffers, chunks, only, spans, word_bounds, word_hashes
 from .langid import _FOLD, _GAP, _grams, held_out
 
 SPAN, STRIDE = 24, 12
@@ -25,9 +25,16 @@ _D, _H, _CHARS, _VOCAB = 8, 8, 8192, 8192
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, n + 1 offsets of texts into them, char n-grams, and where each word's begin."""
-    starts, ends, first = word_bounds(data, offsets, _GAP)
-    gram, begin, _ = _grams(data, offsets)
-    return word_hashes(data, starts, ends, _FOLD), first, gram & (_CHARS - 1), begin
+    hashes, grams, sizes, at = [], [], [], []
+    for piece in spans(data, offsets):
+        starts, ends, _ = word_bounds(data, piece, _GAP)
+        gram, begin, _ = _grams(data, piece)
+        hashes.append(word_hashes(data, starts, ends, _FOLD))
+        grams.append((gram & (_CHARS - 1)).astype(np.uint16))
+        sizes.append(np.diff(np.append(begin, len(gram))))
+        at.append(starts)
+    size = np.concatenate(sizes)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(at), offsets), np.concatenate(grams), np.cumsum(size) - size
 
 
 def _sig(x: np.ndarray) -> np.ndarray:
@@ -128,18 +135,22 @@ class Net:
         return dx, g
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Logit, text and (start, length) of all windows of the texts."""
+        """Logit, text and (start, length) of all windows of the texts, so many windows at a time."""
         h, first, gram, begin = _words(data, offsets)
-        x, _ = self.inputs(self.ids(h), gram, begin)
-        xp = np.vstack([x @ self.p["wx"] + self.p["bx"], np.zeros((1, 6 * _H), np.float32)])
+        ids, upto = self.ids(h), np.append(begin, len(gram))
         start, length, owner = _windows(first)
         out = np.empty(len(start), np.float32)
-        full = length == SPAN
-        for part in (np.flatnonzero(full), np.flatnonzero(~full)):
-            for i in range(0, len(part), 2048):
-                w = part[i : i + 2048]
-                at = start[w] + np.arange(SPAN)[:, None]
-                out[w] = self.run(xp, np.where(np.arange(SPAN)[:, None] < length[w], at, len(xp) - 1), length[w])
+        step = np.arange(SPAN)[:, None]
+        for w0 in range(0, len(start), 16384):
+            own = np.arange(w0, min(w0 + 16384, len(start)))
+            a, b = int(start[own[0]]), int((start[own] + length[own]).max())  # windows are in the order of their words
+            x, _ = self.inputs(ids[a:b], gram[upto[a] : upto[b]], begin[a:b] - upto[a])
+            xp = np.vstack([x @ self.p["wx"] + self.p["bx"], np.zeros((1, 6 * _H), np.float32)])
+            full = length[own] == SPAN
+            for part in (own[full], own[~full]):
+                for i in range(0, len(part), 2048):
+                    w = part[i : i + 2048]
+                    out[w] = self.run(xp, np.where(step < length[w], start[w] - a + step, len(xp) - 1), length[w])
         return out, owner, (start, length)
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -242,21 +253,27 @@ def train(texts: pa.Array, y: np.ndarray, prior: float, rounds: int = 3, epochs:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500) -> Net:
-    """Learns from at most about ``per_class`` labelled texts of a class (a documented bound), drawn by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500, most_bytes: int = 1 << 24) -> Net:
+    """Learns from at most about ``per_class`` labelled texts and ``most_bytes`` of a class (documented bounds), drawn by hashes.
 
-    Conflicting or repeated labels of an id: toxic wins. Without labels of both classes every score is 0.
+    Conflicting or repeated labels of an id: toxic wins; a text that repeats under its id counts once. Without labels of
+    both classes every score is 0.
     """
     y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     y = y.withColumn("_h", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 20)))
     counts = {r["_y"]: r["count"] for r in y.groupBy("_y").count().collect()}
     if set(counts) != {0, 1}:
         return Net(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-    some = y.where(F.col("_h") < F.when(F.col("_y") == 1, int(min(1, per_class / counts[1]) * (1 << 20))).otherwise(int(min(1, per_class / counts[0]) * (1 << 20))))
-    got = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col("_id"), F.col(text_col).alias("t"), "_y").toArrow()
+    share = lambda by, rate: F.col(by) < F.when(F.col("_y") == 1, int(min(1, rate[1]) * (1 << 20))).otherwise(int(min(1, rate[0]) * (1 << 20)))
+    some = y.where(share("_h", {c: per_class / n for c, n in counts.items()}))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_d"), F.col(text_col).alias("t")).join(F.broadcast(some), F.col("_d") == F.col("_id"))
+    rows = rows.withColumn("_k", F.pmod(F.xxhash64("_id", "t"), F.lit(1 << 20)))
+    found = {r["_y"]: (r["n"], r["b"]) for r in rows.groupBy("_y").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()}
+    rate = {c: min(1.5 * per_class / n, most_bytes / max(1, b)) for c, (n, b) in found.items()} | {c: 1.0 for c in counts if c not in found}
+    got = rows.where(share("_k", rate)).groupBy("_id", "_y", "t").count().select("_id", "t", "_y").toArrow()
     if not got.num_rows or len(set(got.column("_y").to_pylist())) < 2:
         return Net(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-    got = got.sort_by("_id")
+    got = got.sort_by([("_id", "ascending"), ("t", "ascending")])
     return train(got.column("t"), np.array(got.column("_y").to_pylist(), np.float64), counts[1] / (counts[0] + counts[1]))
 
 
@@ -274,6 +291,7 @@ def scored(net: Net, docs: DataFrame, text: Column) -> Column:
 
 
 def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500) -> DataFrame:
-    """``docs`` with ``_toxic`` (the score), learned from labels of ids that are not held out. Every row stays."""
+    """``docs`` with ``_toxic`` (the score; a column of that name is replaced), learned from labels of ids that are not held
+    out. Every row stays, repeated ones too; null and blank texts are scored as texts without words."""
     net = fit(docs, labels.where(~held_out(id_col, 5, 0)), id_col, text_col, label_col, per_class)
     return docs.withColumn("_toxic", scored(net, docs, F.col(text_col)))

@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from .common import word_hashes
+from .common import spans, word_hashes
 
 #: How byte-level BPE files split words (fixed).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,11 +59,18 @@ class Splitter:
         return [m.span() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.cut.finditer(raw, i, j)]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the texts ``data[offsets[i]:offsets[i+1]]``: starts and ends of words in data, and n + 1 offsets into these."""
+        """Of the texts ``data[offsets[i]:offsets[i+1]]``: starts and ends of words in data, and n + 1 offsets into these.
+
+        Long texts go in pieces that begin with a blank after a letter: there a word ends, whatever stands around.
+        """
+        parts = [self._starts(data, x) for x in spans(data, offsets)]
+        starts = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return starts, np.append(starts[1:], offsets[-1]) if len(starts) else starts, np.searchsorted(starts, offsets)
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lo, hi = int(offsets[0]), int(offsets[-1])
         if lo == hi:
-            none = np.zeros(0, np.int64)
-            return none, none, np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int64)
         raw = data[lo:hi]
         spans = self._specials(raw.tobytes(), offsets - lo)
         code, at = _characters(raw)
@@ -82,8 +89,7 @@ class Splitter:
         for a, b in spans:
             i, j = np.searchsorted(at, [a, b])
             start[i + 1 : j] = False
-        starts = at[np.flatnonzero(start)] + lo
-        return starts, np.append(starts[1:], hi), np.searchsorted(starts, offsets)
+        return at[np.flatnonzero(start)] + lo
 
     @staticmethod
     def _contractions(code: np.ndarray, kind: np.ndarray, edge: np.ndarray, start: np.ndarray) -> None:

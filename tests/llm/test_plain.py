@@ -219,3 +219,77 @@ def test_query(spark, name):
     got, want = queries.queries()[name](spark, SF).toPandas(), db.sql(queries.oracle_sql()[name]).df()
     rows = lambda d: sorted(map(repr, (tuple(v.item() if hasattr(v, "item") else v for v in r) for r in d[sorted(d.columns)].itertuples(index=False, name=None))))
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+# long texts go in pieces
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """Cut into small pieces, texts have the ids, proportions, words and n-grams that they have whole."""
+    import random
+
+    import public_tokenizers
+    from simloom.llm import token_files, words
+
+    r = random.Random(3)
+    parts = ["le", "monde", "é", "the", "x" * 50, "'s", "don't", " ", "\n", "a b", "<|endoftext|>", "12", "?!"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", "", "\t"]) for _ in range(r.randint(0, 3000))) for _ in range(5)] + ["", "y" * 9000]
+    data, offsets = column(texts)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens = token_files.Tokenizer(f.read())
+    model = langid.Model(["a", "b", "c"], np.log(np.random.default_rng(0).random((1 << 16, 3)).astype(np.float32)))
+    whole = common.spans
+    results = []
+    for pieces in (whole, lambda data, offsets: whole(data, offsets, 200)):
+        for module in (words, langid, toxicity):
+            monkeypatch.setattr(module, "spans", pieces)
+        results.append([*tokens.ids(data, offsets), *langid.infer(model, data, offsets), *toxicity._words(data, offsets)])
+    assert len(list(whole(data, offsets, 200))) > 50
+    for a, b in zip(*results, strict=True):
+        assert np.array_equal(a, b)
+
+
+CONTRACTS = {
+    "op1_language_id": "doc_id held_out lang_pred score",
+    "op3_masked_lm": "doc_id n_tokens sum_logprob mean_logprob",
+    "op5_toxicity": "doc_id held_out score predicted",
+    "op6_source_mix": "doc_id size source_size target taken",
+    "op8_token_files": "doc_id start n_tokens ids_crc32",
+    "op10_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_contract(spark, name):
+    """Every document once, with the stated columns and within the stated ranges."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id")
+    got = queries.queries()[name](spark, SF).toPandas().set_index("doc_id")
+    assert ["doc_id", *got.columns] == CONTRACTS[name].split() and sorted(got.index) == sorted(docs.index)
+    if "score" in got:
+        assert got.score.between(0, 1).all() and got.held_out.dtype == bool
+    if name in ("op8_token_files", "op10_bpe"):
+        import hashlib
+        import zlib
+
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        start = 0
+        for i in sorted(docs.index):
+            ids, r = tok.encode(docs.text[i] or "", add_special_tokens=False).ids, got.loc[i]
+            if name == "op10_bpe":
+                assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+            else:
+                ids.append(0)
+                assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+                start += len(ids)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
+def test_pipeline_run(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert list(got.columns) == CONTRACTS["op10_bpe"].split() and len(got) > 100 and (got.n_tokens > 0).all()
