@@ -26,6 +26,11 @@ def shard_of(id_col: str, shards: int):
     return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(shards)).cast("int")
 
 
+def shards_for(rows: int, shard_rows: int, cores: int) -> int:
+    """As many shards as hold ``shard_rows`` each, and for small tables enough that cores share them, 512 rows or more each."""
+    return max(1, -(-rows // shard_rows), min(cores, rows // 512))
+
+
 def _checksum(*parts: bytes) -> int:
     crc = 0
     for p in parts:
@@ -34,13 +39,13 @@ def _checksum(*parts: bytes) -> int:
 
 
 def build_graphs(rows: DataFrame, name: str = "l2", id_col: str = "id", vec_col: str = "vector", ord_col: str | None = None, m: int = 16, ef_construction: int = 200, seed: int = 42, use_heuristic: bool = True, shard_rows: int = 16384, shards: int | None = None) -> DataFrame:
-    """A graph for each shard of about ``shard_rows`` rows (:data:`GRAPHS`); a table to write once.
+    """A graph for each shard of at most about ``shard_rows`` rows (:data:`GRAPHS`); a table to write once.
 
     Graphs hold unit rows; added components make their order that of the metric within a shard. Levels are drawn by id and
     ``seed``, so a rebuild gives the same graph.
     """
     kind = metric(name)
-    shards = shards or max(1, -(-rows.count() // shard_rows))
+    shards = shards or shards_for(rows.count(), shard_rows, rows.sparkSession.sparkContext.defaultParallelism)
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(ord_col or id_col).cast("long").alias("ord"), F.col(vec_col).cast("array<float>").alias("v"), shard_of(id_col, shards).alias("shard"))
 
     def build(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:

@@ -41,7 +41,7 @@ def _seq(n: int) -> str:
 class Collection:
     def __init__(self, spark: SparkSession, path: str, config: dict):
         self.spark, self.files, self.config = spark, Files(spark, path), config
-        self.ef_search, self.flat_search_cutoff, self.about = 64, 2048, {}
+        self.ef_search, self.flat_search_cutoff, self.about, self._counted = 64, 2048, {}, (-1, 0)
         self.refresh()
 
     @classmethod
@@ -229,7 +229,7 @@ class Collection:
             if self.ranges:
                 approx.packed_codes(by, *self._quantizer(self.ranges), ord_col="ord").write.parquet(self.files.at(f"{tmp}/codes"))
         elif about["nodes"]:
-            about["shards"] = -(-about["nodes"] // self.config["shard_rows"])
+            about["shards"] = approx.shards_for(about["nodes"], self.config["shard_rows"], self.spark.sparkContext.defaultParallelism)
             c = self.config
             approx.build_graphs(by, c["metric"], ord_col="ord", m=c["M"], ef_construction=c["ef_construction"], seed=c["seed"], use_heuristic=c["use_heuristic"], shards=about["shards"]).write.parquet(self.files.at(f"{tmp}/graphs"))
             about |= approx.graph_stats(self.spark.read.parquet(self.files.at(f"{tmp}/graphs")))
@@ -252,9 +252,8 @@ class Collection:
     # reading
 
     def access_path(self, k: int, where: str | dict | None = None, ef: int = 0) -> str:
-        rows = self.rows()
-        some = rows.where(filters.compiled(where, F.col("terms"))).count() if filters.parse(where) else None
-        return planner.access_path(rows.count(), k, ef, self.ef_search, some, self.config["M"], self.flat_search_cutoff)
+        some = self.rows().where(filters.compiled(where, F.col("terms"))).count() if filters.parse(where) else None
+        return planner.access_path(self.size(), k, ef, self.ef_search, some, self.config["M"], self.flat_search_cutoff)
 
     def query(self, queries: DataFrame, k: int = 10, where: str | dict | None = None, include_metadata: bool = True, ef: int = 0, filter_ids: DataFrame | None = None, exclude_ids: DataFrame | None = None) -> DataFrame:
         """``query_id, rank, id, distance`` (and ``metadata``) of the k nearest rows that pass the filter, which comes first.
@@ -319,7 +318,10 @@ class Collection:
         return self.rows().select("id").orderBy("id")
 
     def size(self) -> int:
-        return self.rows().count()
+        """Live rows; counted once for each state."""
+        if self._counted[0] != self.last_seq:
+            self._counted = self.last_seq, self.rows().count()
+        return self._counted[1]
 
     def stats(self) -> dict:
         """Config and counts. ``nodes`` counts rows that were replaced or deleted since the snapshot too; degree, level and

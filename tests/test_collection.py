@@ -143,7 +143,7 @@ def test_graph_queries(spark, tmp_path):
         c.checkpoint()
         c = Collection.open(spark, str(tmp_path / name))
         c.flat_search_cutoff = 0
-        assert c.access_path(10) == "graph" and c.about["shards"] == 3
+        assert c.access_path(10) == "graph" and c.about["shards"] >= 3
 
         def exact(where=None):
             return by_query(topk.top_k(c.rows().where(filters.compiled(where, F.col("terms"))), asked(spark, q), 10, name))  # noqa: B023
