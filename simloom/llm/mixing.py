@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, unused
+from .common import forget, kept, unused
 
 _GOLDEN, _SPAN = 1327217885, 1 << 31
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,16 +99,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words, sources = rows.agg(F.sum("size")).first()[0] or 0, rows.select("source").distinct().count()
     block, parts = int(max(16, min(most, words // pieces))), max(64, min(1024, (1 << 22) // max(sources, 1)))
     own = F.floor(F.least(F.col("target"), F.col("source_size")) / parts)
-    goals = kept(goals.withColumn("length", F.greatest(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), own))), "targets")
+    lengths = goals = kept(goals.withColumn("length", F.greatest(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), own))), "targets")
     turns = goals.agg(F.sum(F.col("target") / F.col("length"))).first()[0] or 0.0
     times = schedule(goals, "length", round(turns)).groupBy("source").agg(F.count("*").alias("times"))
     at = kept(placed(rows), "placed")
+    forget(rows)
     # ranks go round the blocks: every block comes up ``times div blocks`` times, the first ``times mod blocks`` once more
     times = times.withColumnRenamed("source", "s3")
     goals = goals.join(times, F.col("source").eqNullSafe(F.col("s3")), "left").withColumn("times", F.coalesce("times", F.lit(0)))
     goals = goals.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("length"))))
     goals = goals.select("source", "source_size", "target", F.floor(F.col("times") / F.col("blocks")).alias("passes"), ((F.col("times") % F.col("blocks")) * F.col("length")).alias("upto"))
     goals = kept(goals, "turns")
+    forget(lengths)
     goals = goals.withColumnRenamed("source", "s2")
     out = at.join(F.broadcast(goals) if goals.limit(100_001).count() <= 100_000 else goals, F.col("source").eqNullSafe(F.col("s2")))
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("upto") - F.col("start")))
