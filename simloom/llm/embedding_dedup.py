@@ -116,7 +116,7 @@ def near_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     blocks = kept(classes.select("h1", "v").mapInArrow(pack, "ids binary, x binary, block long"), "blocks")
     count = blocks.count()
-    salts = max(1, -(-count // max(1, min(per_task, -(-count * shards // (3 * spark.sparkContext.defaultParallelism))))))
+    salts = max(1, -(-count // max(4, min(per_task, -(-count * shards // (3 * spark.sparkContext.defaultParallelism))))))
     # every block meets every shard: a stated query set in blocks; each graph is copied ``salts`` times
     none = F.lit(None).cast("binary")
     tasks = graphs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "graph", "ids", "x", "c")
