@@ -77,12 +77,14 @@ def search_block(graph: Hnsw, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid
         ef *= 2
 
 
-def near_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, shard_rows: int = 16384, block: int = 1024, ef: int = 24, m: int = 16, ef_build: int = 40, audit: int = 32, recall: float = 1.0, per_task: int = 256) -> DataFrame:
+def near_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, shard_rows: int | None = None, block: int = 1024, ef: int = 24, m: int = 16, ef_build: int = 40, audit: int = 32, recall: float = 1.0, per_task: int = 256) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     A vector that is null, empty, zero, or holds a null or non-finite component links with nothing. Vectors of different
     lengths compare as if padded with zeros. Rows that repeat an id are rows of their own; equal vectors link. A row of
-    null id keeps its links, but no id to stay under: it counts for others, and a component of such rows only is null.
+    null id keeps its links, but no id to stay under: it counts for others, and a component of such rows only is null. An
+    empty table gives none; other columns are not read. A shard has ``shard_rows`` vectors, or as many as have two million
+    components together: every vector is searched for on every shard, so larger ones cost less.
     """
     spark = vectors.sparkSession
     single = vectors.select(vec_col).dtypes[0][1] == "array<float>"
@@ -95,6 +97,8 @@ def near_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = kept(rows, "vectors")
     classes = rows.where("v is not null").groupBy("h1", "h2").agg(F.count("*").alias("c"), F.any_value("v").alias("v"))
     n = rows.where("v is not null").select("h1", "h2").distinct().count()
+    if shard_rows is None:  # 32,768 vectors of 64 components; longer ones are fewer to a graph
+        shard_rows = max(4096, (1 << 21) // max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1))
     shards = max(1, -(-n // shard_rows))
     # h1 names a class from here on; the shard comes from h2
     classes = kept(classes.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards)).cast("int")), "classes")
