@@ -53,8 +53,11 @@ def summed(kind: str, q: np.ndarray, x: np.ndarray, r: np.ndarray, c: np.ndarray
     return out if kind == "l2" else 1 - out
 
 
-def nearest(kind: str, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of q, row of x and distance of the k nearest rows of x, by query, nearest first; ties go to the earlier row."""
+def nearest(kind: str, q: np.ndarray, x: np.ndarray, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, row of x and distance of the k nearest rows of x, by query, nearest first; ties go to the earlier row.
+
+    ``most``: a distance by query beyond which nothing is asked for; it may be that of a row in single precision.
+    """
     if kind == "cosine":
         q, x = unit_rows(q), unit_rows(x)
     near = None
@@ -64,7 +67,11 @@ def nearest(kind: str, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray
         near = qq + xx - 2 * near if kind == "l2" else -near
         slack = 1e-9 * (qq + xx.max(initial=0))
     if near is not None and k and np.isfinite(near).all():
-        r, c = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k] + slack)
+        if most is None:
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k] + slack
+        else:
+            limit = (most if kind == "l2" else most - 1)[:, None] + 1000 * slack
+        r, c = np.nonzero(near <= limit)
     else:
         r, c = (v.ravel() for v in np.indices((len(q), len(x) if k else 0)))
     d = summed(kind, q, x, r, c)
@@ -111,6 +118,32 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, name: str = "l2", id_col:
     return best(pairs.mapInArrow(run, "query_id long, id long, ord long, distance double"), k)
 
 
+def checked(hits: DataFrame, rows: DataFrame, queries: DataFrame, k: int, name: str = "l2", ord_col: str = "id") -> DataFrame:
+    """``query_id, rank, id, distance``: the result of an approximate search made exact.
+
+    ``hits`` is that result (:func:`best`); a query's k-th hit bounds what it asks of each block of ``rows`` (``id, vector``
+    and ``ord_col``), so little beyond the hits is summed. A query with fewer hits has no bound.
+    """
+    kind = metric(name)
+    far = hits.where(F.col("rank") == k).select("query_id", F.col("distance").alias("_most"))
+    bound = F.array(F.coalesce("_most", F.lit(float("inf"))))  # goes along as a last component
+    asked = queries.select("query_id", "vector").join(far, "query_id", "left").select("query_id", F.concat(F.col("vector").cast("array<double>"), bound).alias("vector"))
+    x = packed(rows, "id", ord_col, "vector", "x")
+    q = packed(asked, "query_id", "query_id", "vector", "q").drop("qords")
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                xi, xo, xr, qi, qr = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in enumerate((np.int64, np.int64, np.float64, np.int64, np.float64)))
+                xr, qr = xr.reshape(len(xi), -1), qr.reshape(len(qi), -1)
+                by = np.argsort(xo, kind="stable")
+                r, c, d = nearest(kind, np.ascontiguousarray(qr[:, :-1]), xr[by], k, qr[:, -1])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(xi[by][c]), pa.array(xo[by][c]), pa.array(d)], ["query_id", "id", "ord", "distance"])
+
+    pairs = met(x, q, components(queries, "vector")).select("xids", "xords", "xrows", "qids", "qrows")
+    return best(pairs.mapInArrow(run, "query_id long, id long, ord long, distance double"), k)
+
+
 def components(queries: DataFrame, vec_col: str) -> int:
     return queries.agg(F.sum(F.size(vec_col))).first()[0] or 0
 

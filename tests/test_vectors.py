@@ -1,12 +1,15 @@
 """Metrics, exact and approximate top-k, quantization, levels, planner: against numpy and fixed values."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from simloom.functions import levels, metrics, sq8
 from simloom.operators import approx, evaluate, planner, topk
 from simloom.operators.hnsw import Hnsw
+from simloom.plans import vector_queries
 
 
 def frame(spark, x, name="id"):
@@ -95,3 +98,38 @@ def test_planner():
 
 def test_crc32(spark):
     assert spark.sql("SELECT crc32('123456789')").first()[0] == 0xCBF43926
+
+
+# what an approximate search misses, the exact check after it finds
+
+
+@pytest.fixture(scope="module")
+def thin(tmp_path_factory):
+    """A folder with 4,500 vectors and labels."""
+    x = np.random.default_rng(4).standard_normal((4500, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = tmp_path_factory.mktemp("thin")
+    pq.write_table(pa.table({"vec_id": np.arange(4500), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": pa.array(np.arange(4500) % 10, pa.int32())}), at / "embeddings.parquet")
+    return str(at)
+
+
+def missing(monkeypatch, name):
+    """The search ``approx.name`` without two thirds of what it finds."""
+    search = getattr(approx, name)
+    monkeypatch.setattr(approx, name, lambda *a, **k: search(*a, **k).where("id % 3 = 0"))
+
+
+def test_checked(spark):
+    r = np.random.default_rng(8)
+    x, q = frame(spark, r.standard_normal((2500, 8))), frame(spark, r.standard_normal((30, 8)), "query_id")
+    for name in ("l2", "ip", "cosine"):
+        truth = topk.top_k(x, q, 7, name)
+        some = topk.best(truth.where("id % 2 = 0 and query_id < 29").withColumn("ord", F.col("id")), 7)
+        for found in (some, topk.best(topk.top_k(x.where("id % 50 = 0"), q, 7, name).withColumn("ord", F.col("id")), 7)):
+            assert sorted(topk.checked(found, x, q, 7, name).collect()) == sorted(truth.collect())
+
+
+def test_graph_misses_are_found(spark, thin, monkeypatch):
+    missing(monkeypatch, "search_graphs")
+    got = vector_queries.ann_graph_good(spark, thin).collect()
+    assert len(got) == 225 and all(r.good for r in got)
