@@ -255,12 +255,12 @@ class Collection:
         some = self.rows().where(filters.compiled(where, F.col("terms"))).count() if filters.parse(where) else None
         return planner.access_path(self.size(), k, ef, self.ef_search, some, self.config["M"], self.flat_search_cutoff)
 
-    def query(self, queries: DataFrame, k: int = 10, where: str | dict | None = None, include_metadata: bool = True, ef: int = 0, filter_ids: DataFrame | None = None, exclude_ids: DataFrame | None = None) -> DataFrame:
+    def query(self, queries: DataFrame, k: int = 10, where: str | dict | None = None, include_metadata: bool = True, ef: int = 0, filter_ids: DataFrame | None = None, exclude_ids: DataFrame | None = None, check: bool = False) -> DataFrame:
         """``query_id, rank, id, distance`` (and ``metadata``) of the k nearest rows that pass the filter, which comes first.
 
         The planner chooses by counts: all rows, the rows that pass, or the graphs of the snapshot. Rows of the log are always
         scanned, and hide what the graphs hold of their ids. With codes, these are scanned and, with ``rerank``, the best
-        ``max(ef, k)`` ranked again by their vectors.
+        ``max(ef, k)`` ranked again by their vectors. Graphs and codes may miss a neighbour; ``check`` adds what they missed.
         """
         rows = topk.restricted(self.rows().where(filters.compiled(where, F.col("terms"))), filter_ids, exclude_ids)
         by = rows.withColumn("ord", F.col("seq") * F.lit(1 << 40) + F.col("pos"))
@@ -272,7 +272,11 @@ class Collection:
             allow = bool(filters.parse(where)) or filter_ids is not None
             some = rows.count() if allow else None
             path = planner.access_path(self.size(), k, ef, self.ef_search, some, self.config["M"], self.flat_search_cutoff)
-            hits = self._graph_hits(by, queries, k, wide, allow or exclude_ids is not None) if path == planner.GRAPH and self.about["shards"] and k else topk.top_k(by, queries, k, self.config["metric"], ord_col="ord")
+            graph = path == planner.GRAPH and self.about["shards"] and k
+            hits = self._graph_hits(by, queries, k, wide, allow or exclude_ids is not None) if graph else topk.top_k(by, queries, k, self.config["metric"], ord_col="ord")
+            check = check and graph
+        if check:
+            hits = topk.checked(hits, by, queries, k, self.config["metric"], "ord")
         return hits.join(rows.select("id", F.coalesce("metadata", F.lit("{}")).alias("metadata")), "id").select("query_id", "rank", "id", "distance", "metadata") if include_metadata else hits
 
     def _graph_hits(self, by: DataFrame, queries: DataFrame, k: int, wide: int, filtered: bool) -> DataFrame:

@@ -139,3 +139,10 @@ def test_filtered_graph_misses_are_found(spark, thin, monkeypatch):
     missing(monkeypatch, "search_graphs")
     got = vector_queries.ann_graph_filtered(spark, thin).collect()
     assert len(got) == 225 and all(r.good for r in got)
+
+
+def test_collection_misses_are_found(spark, thin, monkeypatch):
+    missing(monkeypatch, "search_graphs")
+    e = vector_queries._plain(spark, thin)
+    want = vector_queries._shown(topk.top_k(e.where("label <> 4"), vector_queries._asked(e), 10))
+    assert sorted(vector_queries.collection_query(spark, thin).collect()) == sorted(want.collect())
