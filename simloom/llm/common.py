@@ -5,9 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,23 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def learned(sample: DataFrame, make: Callable[[pa.Table | None], object]):
+    """What ``make`` makes of a bounded sample (None if it is empty), in one task: the driver holds neither texts nor what
+    learning from them takes, only the model."""
+
+    def run(batches):
+        only()
+        held = list(batches)
+        out = pickle.dumps(make(pa.Table.from_batches(held) if held else None))
+        del held
+        pa.default_memory_pool().release_unused()
+        _trim()
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["model"])
+
+    row = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row[0]) if row else make(None)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """``names``, each with as many underscores before it as it takes to be none of ``columns`` (without regard to case)."""
     taken, out = {c.lower() for c in columns}, []

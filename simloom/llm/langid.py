@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, buffers, chunks, only, spans, word_bounds
+from .common import CHUNK, buffers, chunks, learned, only, spans, word_bounds
 
 _ORDER, _BITS = 4, 16
 _FOLD = np.full(256, 32, np.uint8)  # letters and bytes above ASCII stand for themselves, the rest parts words
@@ -69,16 +69,21 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: in
     if not langs:
         return Model([], np.zeros((1 << _BITS, 0), np.float32))
     rate = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, per_lang / counts[x]) * (1 << 20)))) for x in langs))
-    table = rows.where(F.col("h") < rate).groupBy("h", "text", "lang").count().select("text", "lang").toArrow()
+    sample = rows.where(F.col("h") < rate).groupBy("h", "text", "lang").count().select("text", "lang")
+    return learned(sample, lambda table: _counted(table, langs, smoothing))
+
+
+def _counted(table: pa.Table | None, langs: list[str], smoothing: float) -> Model:
     freq = np.zeros((1 << _BITS, len(langs)))
-    code = {x: i for i, x in enumerate(langs)}
-    owner = np.array([code[x] for x in table.column("lang").to_pylist()], np.int64)
-    data, offsets = buffers(table.column("text"))
-    for i, j in chunks(offsets):
-        gram, begin, first = _grams(data, offsets[i : j + 1])
-        if len(gram):
-            doc = np.repeat(np.arange(i, j), np.diff(np.append(begin, len(gram))[first]))
-            freq += np.bincount(gram * len(langs) + owner[doc], minlength=freq.size).reshape(freq.shape)
+    if table is not None:
+        code = {x: i for i, x in enumerate(langs)}
+        owner = np.array([code[x] for x in table.column("lang").to_pylist()], np.int64)
+        data, offsets = buffers(table.column("text"))
+        for i, j in chunks(offsets):
+            gram, begin, first = _grams(data, offsets[i : j + 1])
+            if len(gram):
+                doc = np.repeat(np.arange(i, j), np.diff(np.append(begin, len(gram))[first]))
+                freq += np.bincount(gram * len(langs) + owner[doc], minlength=freq.size).reshape(freq.shape)
     logp = np.log((freq + smoothing) / (freq.sum(0) + smoothing * len(freq)))
     return Model(langs, logp.astype(np.float32))
 

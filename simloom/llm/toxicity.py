@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, buffers, chunks, only, spans, word_bounds, word_hashes
+from .common import CHUNK, buffers, chunks, learned, only, spans, word_bounds, word_hashes
 from .langid import _FOLD, _GAP, _grams, held_out
 
 SPAN, STRIDE = 24, 12
@@ -270,11 +270,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("_k", F.pmod(F.xxhash64("_id", "t"), F.lit(1 << 20)))
     found = {r["_y"]: (r["n"], r["b"]) for r in rows.groupBy("_y").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()}
     rate = {c: min(1.5 * per_class / n, most_bytes / max(1, b)) for c, (n, b) in found.items()} | {c: 1.0 for c in counts if c not in found}
-    got = rows.where(share("_k", rate)).groupBy("_id", "_y", "t").count().select("_id", "t", "_y").toArrow()
-    if not got.num_rows or len(set(got.column("_y").to_pylist())) < 2:
+    sample = rows.where(share("_k", rate)).groupBy("_id", "_y", "t").count().select("_id", "t", "_y")
+    return learned(sample, lambda got: _trained(got, counts[1] / (counts[0] + counts[1])))
+
+
+def _trained(got: pa.Table | None, prior: float) -> Net:
+    if got is None or len(set(got.column("_y").to_pylist())) < 2:
         return Net(np.zeros(0, np.uint64), np.zeros(0, np.float32))
     got = got.sort_by([("_id", "ascending"), ("t", "ascending")])
-    return train(got.column("t"), np.array(got.column("_y").to_pylist(), np.float64), counts[1] / (counts[0] + counts[1]))
+    return train(got.column("t"), np.array(got.column("_y").to_pylist(), np.float64), prior)
 
 
 def scored(net: Net, docs: DataFrame, text: Column) -> Column:

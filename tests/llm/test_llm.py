@@ -502,3 +502,12 @@ def test_wide_key_in_pieces():
     assert set(np.concatenate([p[1] for p in pieces]).tolist()) == set(range(len(key)))
     whole = list(_columns(iter(batches)))
     assert sum(len(p[0]) for p in whole) == len(key)
+
+
+def test_models_are_learned_in_a_task(spark, real, monkeypatch):
+    """The driver collects models, no texts: what these take in its memory is the executors'."""
+    fetch = type(real).toArrow
+    monkeypatch.setattr(type(real), "toArrow", lambda df: pytest.fail("a sample came to the driver") if {"t", "text"} & set(df.columns) else fetch(df))
+    assert langid.fit(real, "text", "lang", "doc_id").size > 1
+    labels = real.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert toxicity.fit(real.limit(60), labels).fit is not None
